@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CLOSE, CONTROL, OPEN, conversation_digest, format_conversations
 from .line_dedup import COPY_SHARE, MIN_SITES, drop_spread_lines
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality import quality_verdicts
 
@@ -19,6 +21,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return conversation_digest(format_conversations(turns.unionByName(extra)))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -53,9 +66,25 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS
   CAST(length(text) AS BIGINT) AS n_left_chars, sha256(text) AS left_sha256 FROM r
 """
 
+_TAILS = "|".join(c[1:].replace("|", "\\|").replace("[", "\\[").replace("]", "\\]") for c in CONTROL)
+OP8_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(OPEN) + len(CLOSE) + 2} + length(role) + length(text) + len(regexp_extract_all(text, '[<\\[]\\\\*({_TAILS})'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_chat_format": op8_chat_format,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL}
+ORACLES = {"op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
