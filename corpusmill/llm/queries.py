@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, lm
 from .chat import CLOSE, CONTROL, OPEN, conversation_digest, format_conversations
 from .line_dedup import COPY_SHARE, MIN_SITES, drop_spread_lines
 from .mixing import mix
@@ -26,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(_read(spark, sf_dir, "documents")))
 
@@ -88,6 +92,7 @@ FROM c GROUP BY conv_id
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op4_lm_score": op4_lm_score,
     "op6_bpe": op6_bpe,
     "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
