@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm
+from . import bpe, fingerprints, lm
 from .chat import CLOSE, CONTROL, OPEN, conversation_digest, format_conversations
 from .line_dedup import COPY_SHARE, MIN_SITES, drop_spread_lines
 from .mixing import mix
@@ -45,6 +45,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_spread_lines(_read(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
@@ -96,6 +100,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}
