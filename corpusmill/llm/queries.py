@@ -10,6 +10,7 @@ from .chat import CLOSE, CONTROL, OPEN, conversation_digest, format_conversation
 from .line_dedup import COPY_SHARE, MIN_SITES, drop_spread_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .pii import find_personal_data
 from .quality import quality_verdicts
 
 
@@ -26,6 +27,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ FROM c GROUP BY conv_id
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_lm_score": op4_lm_score,
     "op6_bpe": op6_bpe,
     "op7_near_dedup": op7_near_dedup,
