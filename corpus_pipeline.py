@@ -1,8 +1,65 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, BPE."""
+"""The corpus pipeline: documents in, token ids out.
 
-STAGES: list = []
+Five stages, each over all that the one before it kept. Every stage but the last returns the columns of
+``documents``; between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm import bpe
+from corpusmill.llm.common import staged
+from corpusmill.llm.line_dedup import drop_spread_lines
+from corpusmill.llm.mixing import mixed_documents
+from corpusmill.llm.near_dedup import near_dedup
+from corpusmill.llm.quality import quality_filter
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the learned thresholds."""
+    return quality_filter(docs).select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents without boilerplate lines; n_chars is that of the text left."""
+    out = drop_spread_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_dedup(docs).select(COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them: left out, once or twice."""
+    return mixed_documents(docs).select(COLUMNS)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_sha256 and the hash of the text that the ids decode to."""
+    return bpe.digest(bpe.encode(docs), keep_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("bpe_tokens", bpe_tokens),
+]
+#: The thresholds of sketches, the cube method and BPE have no SQL form; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name)
+    return docs

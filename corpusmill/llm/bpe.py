@@ -182,8 +182,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and the hash of the text that the ids decode to."""
+def digest(encoded: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and the hash of the text that the ids decode to; the ids too on demand."""
     table = encoded.sparkSession.sparkContext.broadcast(pieces(path))
 
     def run(batches):
@@ -192,6 +192,7 @@ def digest(encoded: DataFrame, path: str | None = None) -> DataFrame:
             flat, where = np.asarray(ids.flatten()).astype("<u4"), np.asarray(ids.offsets) - ids.offsets[0].as_py()
             hashes = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(where[:-1], where[1:], strict=True)]
             texts = [hashlib.sha256(t.encode()).hexdigest() for t in _texts(ids, table.value)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(where).astype(np.int64)), pa.array(hashes), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [ids] if keep_ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(where).astype(np.int64)), pa.array(hashes), pa.array(texts), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST)
+    return encoded.select("doc_id", "ids").mapInArrow(run, DIGEST + ", ids array<int>" * keep_ids)

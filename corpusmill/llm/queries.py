@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, lm
 from .chat import CLOSE, CONTROL, OPEN, conversation_digest, format_conversations
+from .html_extract import main_text
 from .line_dedup import COPY_SHARE, MIN_SITES, drop_spread_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -35,6 +36,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(_read(spark, sf_dir, "documents")))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_lm_score": op4_lm_score,
+    "op5_html_extract": op5_html_extract,
     "op6_bpe": op6_bpe,
     "op7_near_dedup": op7_near_dedup,
     "op8_chat_format": op8_chat_format,
