@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import record_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **record_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **record_queries.ORACLES}
