@@ -1,3 +1,467 @@
-"""Queries over scored records."""
+"""Queries over scored records: sampling, scores, decisions, the refill loop, reports and the browser's views."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import scores as s
+from ..functions import vocabulary as v
+from ..operators import balance, decide, images, refill, report
+from ..sources.captions import CAPTIONS_SQL, captions
+from .text_queries import _quoted
 
 QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+K = 20
+LABELS = [*v.CLASSES_OVERRIDE, "unknown", "microscopy"]
+C, CF = v.CLASSES_OVERRIDE, v.CLASSES_FUSION
+
+
+def _vec(a: int, b: int, mod: int, n: int = 7):
+    return F.array(*[((F.col("doc_id") * (a * p + b)) % mod) / (mod - 1.0) for p in range(1, n + 1)])
+
+
+def _vec_sql(a: int, b: int, mod: int, n: int = 7) -> str:
+    return "[" + ", ".join(f"((doc_id * {a * p + b}) % {mod}) / {mod - 1}e0" for p in range(1, n + 1)) + "]"
+
+
+def _list_sql(xs) -> str:
+    return "[" + ", ".join(map(_quoted, xs)) + "]"
+
+
+def records(spark, sf_dir):
+    """Scored rows whose labels and scores follow from the document's number, so that every branch occurs."""
+    i = F.col("doc_id")
+    pick = lambda xs, e: F.element_at(F.array(*map(F.lit, xs)), e.cast("int") + 1)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    return d.select(
+        "doc_id", i.alias("row_id"), F.concat(F.lit("PMC"), (i % 500).cast("string")).alias("pmc_id"), "source", pick(LABELS, i % 9).alias("rule_pred"),
+        ((i * 37) % 101 / 100.0).alias("trash_conf"), _vec(7, 3, 97).alias("cnn"), _vec(5, 1, 89).alias("bert"),
+        pick(C, i % 7).alias("cnn1_label"), ((i * 13) % 83 / 82.0).alias("cnn1_conf"), pick(C, i % 5).alias("cnn2_label"), ((i * 29) % 79 / 78.0).alias("cnn2_conf"),
+        F.when(i % 11 != 0, pick(["R", "N", "M", "V"], i % 4)).alias("modality_gt"),
+    )
+
+
+RECORDS = f"""records AS (SELECT doc_id, doc_id AS row_id, 'PMC' || CAST(doc_id % 500 AS VARCHAR) AS pmc_id, source, {_list_sql(LABELS)}[CAST(doc_id % 9 AS INTEGER) + 1] AS rule_pred,
+  ((doc_id * 37) % 101) / 100e0 AS trash_conf, {_vec_sql(7, 3, 97)} AS cnn, {_vec_sql(5, 1, 89)} AS bert,
+  {_list_sql(C)}[CAST(doc_id % 7 AS INTEGER) + 1] AS cnn1_label, ((doc_id * 13) % 83) / 82e0 AS cnn1_conf, {_list_sql(C)}[CAST(doc_id % 5 AS INTEGER) + 1] AS cnn2_label, ((doc_id * 29) % 79) / 78e0 AS cnn2_conf,
+  CASE WHEN doc_id % 11 <> 0 THEN ['R', 'N', 'M', 'V'][CAST(doc_id % 4 AS INTEGER) + 1] END AS modality_gt FROM documents)"""
+_IN7 = ", ".join(map(_quoted, C))
+r6 = lambda c: F.round(c, 6)
+
+
+# Sampling.
+
+
+@query(f"WITH {RECORDS} SELECT row_id, md5(pmc_id || '_' || CAST(row_id AS VARCHAR)) AS h FROM records")
+def stable_hash_order(spark, sf_dir):
+    return records(spark, sf_dir).select("row_id", balance.stable_hash(F.col("pmc_id"), F.col("row_id")).alias("h"))
+
+
+def _topk_sql(order: str, where: str = "true", k: int = K) -> str:
+    return f"WITH {RECORDS}, t AS (SELECT row_id, rule_pred AS label, row_number() OVER (PARTITION BY rule_pred ORDER BY {order}) AS rank FROM records WHERE {where}) SELECT label, rank, row_id FROM t WHERE rank <= {k}"
+
+
+@query(_topk_sql("md5(CAST(row_id AS VARCHAR))"))
+def topk_per_class(spark, sf_dir):
+    rows = records(spark, sf_dir).select("row_id", F.col("rule_pred").alias("label"))
+    return balance.top_per_class(rows, "label", [balance.stable_hash(F.col("row_id")), F.col("row_id")], K).select("label", "rank", "row_id")
+
+
+@query(_topk_sql("md5(CAST(row_id AS VARCHAR))", f"rule_pred IN ({_IN7}) AND trash_conf < 0.9"))
+def early_sample_hash(spark, sf_dir):
+    rows = records(spark, sf_dir).where(F.col("rule_pred").isin(C) & (F.col("trash_conf") < 0.9)).select("row_id", F.col("rule_pred").alias("label"))
+    return balance.top_per_class(rows, "label", [balance.stable_hash(F.col("row_id")), F.col("row_id")], K).select("label", "rank", "row_id")
+
+
+@query(_topk_sql("md5('7_' || CAST(row_id AS VARCHAR))", f"rule_pred IN ({_IN7})"))
+def early_sample_seeded(spark, sf_dir):
+    rows = records(spark, sf_dir).where(F.col("rule_pred").isin(C)).select("row_id", F.col("rule_pred").alias("label"))
+    return balance.top_per_class(rows, "label", [balance.seeded_order(F.col("row_id"), 7), F.col("row_id")], K).select("label", "rank", "row_id")
+
+
+@query(f"""WITH {RECORDS}, b AS (SELECT row_id, pmc_id, rule_pred AS label, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE 1 END AS tier FROM records WHERE rule_pred IN ({_IN7}) AND (doc_id % 13 = 0 OR doc_id % 3 = 1)),
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, md5(pmc_id || '_' || CAST(row_id AS VARCHAR)), row_id) AS rank FROM b)
+SELECT label, rank, row_id, tier FROM t WHERE rank <= {K}""")
+def local_balance_tiered(spark, sf_dir):
+    rows = records(spark, sf_dir).select("doc_id", "pmc_id", "row_id", F.col("rule_pred").alias("final_label"))
+    accepted, pool = rows.where("doc_id % 13 = 0").drop("doc_id"), rows.where("doc_id % 13 = 0 or doc_id % 3 = 1").drop("doc_id")
+    return balance.local_balance(accepted, pool, K, C).select(F.col("final_label").alias("label"), "rank", "row_id", "tier")
+
+
+@query(f"WITH {RECORDS}, t AS (SELECT pmc_id, row_id, row_number() OVER (PARTITION BY pmc_id ORDER BY trash_conf, row_id) AS rn FROM records) SELECT pmc_id, row_id FROM t WHERE rn = 1")
+def dedup_first(spark, sf_dir):
+    rows = records(spark, sf_dir).select("pmc_id", "row_id", "trash_conf")
+    return balance.first_of_key(rows, ["pmc_id"], [F.col("trash_conf"), F.col("row_id")]).select("pmc_id", "row_id")
+
+
+@query(f"WITH {RECORDS} SELECT pmc_id, row_id FROM records WHERE trash_conf >= 0.5")
+def anti_used(spark, sf_dir):
+    rows = records(spark, sf_dir).select("pmc_id", "row_id", "trash_conf")
+    return balance.unused(rows.drop("trash_conf"), rows.where("trash_conf < 0.5"), ["pmc_id", "row_id"])
+
+
+@query(f"WITH {RECORDS} SELECT row_id, rule_pred FROM records WHERE rule_pred IN ({_IN7})")
+def semi_classes(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("rule_pred").isin(C)).select("row_id", "rule_pred")
+
+
+@query("SELECT doc_id AS row_id FROM documents WHERE doc_id BETWEEN 100 AND 299")
+def chunk_cursor(spark, sf_dir):
+    return records(spark, sf_dir).where(F.col("row_id").between(100, 299)).select("row_id")
+
+
+@query(f"WITH {RECORDS} SELECT row_id, list_position({_list_sql(C)}, rule_pred) AS class_pos FROM records WHERE rule_pred IN ({_IN7})")
+def ordered_output(spark, sf_dir):
+    rows = records(spark, sf_dir).where(F.col("rule_pred").isin(C))
+    pos = F.array_position(F.array(*map(F.lit, C)), F.col("rule_pred"))
+    return balance.in_class_order(rows, "rule_pred", C, F.col("row_id")).select("row_id", pos.cast("int").alias("class_pos"))
+
+
+@query(f"""WITH {RECORDS}, c(label, pos) AS (VALUES {", ".join(f"({_quoted(x)}, {i})" for i, x in enumerate(C))}), n AS (SELECT rule_pred, count(*) AS n FROM records GROUP BY 1)
+SELECT label, coalesce(n, 0) AS n, coalesce(n, 0) = 111 AS balanced, coalesce(n, 0) >= 111 AS "full" FROM c LEFT JOIN n ON label = rule_pred""")
+def balance_checksum(spark, sf_dir):
+    return balance.class_counts(records(spark, sf_dir), "rule_pred", C, 111).select("label", "n", "balanced", "full")
+
+
+@query(f"""WITH {RECORDS}, c(label) AS (VALUES {", ".join(f"({_quoted(x)})" for x in C)}) SELECT label FROM c WHERE label NOT IN (SELECT rule_pred FROM records WHERE row_id < 700 GROUP BY rule_pred HAVING count(*) >= 78) OR label = 'us'""")
+def missing_classes(spark, sf_dir):
+    return balance.class_counts(records(spark, sf_dir).where("row_id < 700"), "rule_pred", C, 78).where("not full or label = 'us'").select("label")
+
+
+@query(f"WITH {RECORDS} SELECT count(*) = 7 AS all_full FROM (SELECT rule_pred FROM records WHERE rule_pred IN ({_IN7}) GROUP BY rule_pred HAVING count(*) >= 50)")
+def all_full(spark, sf_dir):
+    return balance.class_counts(records(spark, sf_dir), "rule_pred", C, 50).agg(F.bool_and("full").alias("all_full"))
+
+
+# Scores.
+
+
+@query(f"WITH {RECORDS} SELECT row_id, {_list_sql(C)}[CAST(list_position(cnn, list_max(cnn)) AS INTEGER)] AS label FROM records")
+def argmax_label(spark, sf_dir):
+    return records(spark, sf_dir).select("row_id", s.top_label(F.col("cnn"), C).alias("label"))
+
+
+@query(f"""WITH {RECORDS}, u AS (SELECT row_id, unnest(cnn) AS x, generate_subscripts(cnn, 1) AS i FROM records), t AS (SELECT row_id, x, i, row_number() OVER (PARTITION BY row_id ORDER BY x DESC, i) AS rank FROM u)
+SELECT row_id, rank, {_list_sql(C)}[CAST(i AS INTEGER)] AS label, round(x, 6) AS score FROM t WHERE rank <= 3""")
+def top3_labels(spark, sf_dir):
+    top = records(spark, sf_dir).select("row_id", F.posexplode(s.top_k(F.col("cnn"), C)).alias("p", "t"))
+    return top.select("row_id", (F.col("p") + 1).cast("long").alias("rank"), "t.label", r6(F.col("t.score")).alias("score"))
+
+
+_SORTED = "list_reverse_sort(cnn)"
+
+
+@query(f"WITH {RECORDS} SELECT row_id, round({_SORTED}[1], 6) AS conf, round({_SORTED}[1] - {_SORTED}[2], 6) AS gap FROM records")
+def conf_margin(spark, sf_dir):
+    return records(spark, sf_dir).select("row_id", r6(s.confidence(F.col("cnn"))).alias("conf"), r6(s.margin(F.col("cnn"))).alias("gap"))
+
+
+@query(f"WITH {RECORDS} SELECT row_id, cnn1_conf < 0.4 OR (cnn2_conf / 10) / (cnn1_conf + 1e-6) < 0.03 AS uncertain FROM records")
+def uncertain_flag(spark, sf_dir):
+    return records(spark, sf_dir).select("row_id", s.is_uncertain(F.col("cnn1_conf"), F.col("cnn2_conf") / 10).alias("uncertain"))
+
+
+_M1 = list(v.CNN1_MAPPING)
+
+
+def _model_map():
+    return F.map_from_arrays(F.array(*map(F.lit, _M1)), _vec(3, 2, 61, len(_M1)))
+
+
+def _mapped_sql() -> str:
+    return "[" + ", ".join(" + ".join(f"((doc_id * {3 * (k + 1) + 2}) % 61) / 60e0" for k, m in enumerate(_M1) if v.CNN1_MAPPING[m] == c) or "0e0" for c in CF) + "]"
+
+
+@query(f"SELECT doc_id, unnest(list_transform({_mapped_sql()}, lambda x: round(x, 6))) AS score, generate_subscripts({_list_sql(CF)}, 1) - 1 AS pos FROM documents")
+def map_scores(spark, sf_dir):
+    vec = s.mapped(_model_map(), v.CNN1_MAPPING, CF)
+    return records(spark, sf_dir).select("doc_id", F.posexplode(vec).alias("p", "x")).select("doc_id", r6(F.col("x")).alias("score"), F.col("p").cast("long").alias("pos"))
+
+
+def _counts_sql(counts) -> str:
+    return ", ".join(f"({_quoted(c)}, {counts.get(c, 0)})" for c in CF)
+
+
+@query(f"""WITH a(label, n) AS (VALUES {_counts_sql(v.CNN1_COUNTS)}), b(label, n) AS (VALUES {_counts_sql(v.CNN2_COUNTS)})
+SELECT label, round(ln(a.n + 1) / max(ln(a.n + 1)) OVER (), 6) AS w1, round(ln(b.n + 1) / max(ln(b.n + 1)) OVER (), 6) AS w2 FROM a JOIN b USING (label)""")
+def log_weights(spark, sf_dir):
+    w1, w2 = s.log_weights(v.CNN1_COUNTS, CF), s.log_weights(v.CNN2_COUNTS, CF)
+    return spark.createDataFrame(list(zip(CF, w1, w2, strict=True)), "label string, w1 double, w2 double").select("label", r6(F.col("w1")).alias("w1"), r6(F.col("w2")).alias("w2"))
+
+
+_W1, _W2 = s.log_weights(v.CNN1_COUNTS, CF), s.log_weights(v.CNN2_COUNTS, CF)
+_FUSED_SQL = "[" + ", ".join(f"cnn[{i}] * {1 + 0.5 * a!r} + bert[{i}] * {1 + 0.5 * b!r}" for i, (a, b) in enumerate(zip(_W1, _W2, strict=True), 1)) + "]"
+
+
+@query(f"WITH {RECORDS}, f AS (SELECT row_id, {_FUSED_SQL} AS f FROM records) SELECT row_id, round(list_sum(f), 6) AS total, {_list_sql(CF)}[CAST(list_position(f, list_max(f)) AS INTEGER)] AS label FROM f")
+def fuse_cnn(spark, sf_dir):
+    f = records(spark, sf_dir).select("row_id", s.fused_models(F.col("cnn"), F.col("bert"), _W1, _W2).alias("f"))
+    return f.select("row_id", r6(F.aggregate("f", F.lit(0.0), lambda a, x: a + x)).alias("total"), s.top_label(F.col("f"), CF).alias("label"))
+
+
+@query(f"WITH {RECORDS} SELECT row_id, unnest(list_transform(cnn, lambda x: CASE WHEN list_sum(cnn) = 0 THEN x ELSE round(x / list_sum(cnn), 6) END)) AS share, generate_subscripts(cnn, 1) AS pos FROM records")
+def normalize_scores(spark, sf_dir):
+    n = records(spark, sf_dir).select("row_id", F.posexplode(s.normalized(F.col("cnn"))).alias("p", "x"))
+    return n.select("row_id", r6(F.col("x")).alias("share"), (F.col("p") + 1).cast("long").alias("pos"))
+
+
+_ONE_HOT = "[" + ", ".join(f"CASE WHEN rule_pred = {_quoted(c)} THEN 1e0 ELSE 0e0 END" for c in CF) + "]"
+_RAW = "[" + ", ".join(f"(0.333e0 * hot[{i}] + 0.333e0 * bert[{i}] + 0.333e0 * cnn[{i}]) * (1 - 0.3e0 * trash_conf)" for i in range(1, 8)) + "]"
+_FUSE_ALL = f"""WITH {RECORDS}, h AS (SELECT *, {_ONE_HOT} AS hot FROM records WHERE NOT (trash_conf >= 0.93)), w AS (SELECT row_id, trash_conf, {_RAW} AS raw FROM h),
+f AS (SELECT row_id, trash_conf, list_transform(raw, lambda x: x / list_sum(raw)) AS f FROM w),
+g AS (SELECT *, {_list_sql(CF)}[CAST(list_position(f, list_max(f)) AS INTEGER)] AS final_label, list_reverse_sort(f) AS o FROM f)"""
+
+
+@query(f"{_FUSE_ALL} SELECT row_id, final_label, round(o[1], 6) AS final_conf, round(o[1] - o[2], 6) AS final_margin, round(o[2], 6) AS top2_score, trash_conf > o[1] + 0.01 AS is_filtered FROM g")
+def fuse_all(spark, sf_dir):
+    d = records(spark, sf_dir).withColumns({"is_filtered": F.col("trash_conf") >= 0.93, "rule_scores": s.one_hot(F.col("rule_pred"), CF)})
+    out = decide.final_fusion(d.withColumnsRenamed({"bert": "bert_scores", "cnn": "cnn_scores"}), CF)
+    return out.select("row_id", "final_label", *[r6(F.col(c)).alias(c) for c in ("final_conf", "final_margin", "top2_score")], "is_filtered")
+
+
+_CENTROID = """e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY ALL),
+sim AS (SELECT e.vec_id, c.label, sum(CAST(e.x AS DOUBLE) * c.x) / (sqrt(sum(CAST(e.x AS DOUBLE) * CAST(e.x AS DOUBLE))) * sqrt(sum(c.x * c.x))) AS cos FROM e JOIN c USING (i) GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, label) AS rank FROM sim)"""
+
+
+def _similar(spark, sf_dir):
+    """Cosine of each vector with the mean vector of every label; the labels are few, their table is broadcast."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    classes = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s_: s_["x"]).alias("centre"))
+    packed = classes.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("classes"))
+    scored = e.select("vec_id", "embedding").join(F.broadcast(packed), F.lit(True))
+    keyed = F.transform("classes", lambda c: F.struct((-s.cosine(F.col("embedding"), c["centre"])).alias("a"), c["label"].alias("label")))
+    return scored.select("vec_id", F.array_sort(keyed).alias("r"))
+
+
+@query(f"WITH {_CENTROID} SELECT vec_id, CASE WHEN cos < 0.3 THEN 'unknown' ELSE CAST(label AS VARCHAR) END AS label, round(cos, 5) AS score FROM t WHERE rank = 1")
+def zero_shot_cosine(spark, sf_dir):
+    best = _similar(spark, sf_dir).select("vec_id", F.col("r")[0].alias("b"))
+    return best.select("vec_id", F.when(-F.col("b.a") < 0.3, "unknown").otherwise(F.col("b.label").cast("string")).alias("label"), F.round(-F.col("b.a"), 5).alias("score"))
+
+
+@query(f"WITH {_CENTROID} SELECT vec_id, rank, label, round(cos, 5) AS score FROM t WHERE rank <= 2")
+def zero_shot_top2(spark, sf_dir):
+    two = _similar(spark, sf_dir).select("vec_id", F.posexplode(F.slice("r", 1, 2)).alias("p", "b"))
+    return two.select("vec_id", (F.col("p") + 1).cast("long").alias("rank"), "b.label", F.round(-F.col("b.a"), 5).alias("score"))
+
+
+_SAID = "CASE doc_id % 4 WHEN 0 THEN 'I think: MRT_Hirn!' WHEN 1 THEN 'none of these' WHEN 2 THEN 'xray_fluoroskopie_angiographie' ELSE 'us or ct' END"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mrt_hirn' WHEN 1 THEN 'unknown' WHEN 2 THEN 'xray' ELSE 'us' END AS label, CASE WHEN doc_id % 4 = 1 THEN 0e0 ELSE 0.7e0 END AS conf FROM documents")
+def llm_label_parse(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").withColumn("said", F.expr(_SAID))
+    return d.select("doc_id", s.parsed_llm_label(F.col("said"), CF).alias("x")).select("doc_id", "x.label", "x.conf")
+
+
+# Decisions.
+
+
+@query(f"""WITH {RECORDS}, d AS (SELECT row_id, trash_conf, rule_pred, rule_pred IN ({_IN7}) AS ruled FROM records)
+SELECT row_id, CASE WHEN ruled THEN rule_pred ELSE 'unknown' END AS final_label, CASE WHEN ruled THEN 1e0 ELSE 0e0 END AS final_conf, CASE WHEN ruled THEN 'rule_' || rule_pred || '_override' ELSE 'none' END AS decision_source,
+  CASE WHEN trash_conf >= 0.976 AND NOT ruled THEN 'cnn3_strong' WHEN trash_conf > 0.96 AND NOT ruled THEN 'noconsent' WHEN NOT ruled AND rule_pred <> 'ct' THEN 'rule_cnn_disagreement' WHEN rule_pred = 'us' THEN 'not_target_class' WHEN rule_pred <> 'ct' THEN 'not_target_class' END AS filter_reason FROM d""")
+def decide_override(spark, sf_dir):
+    out = decide.decide_override(records(spark, sf_dir), target="ct")
+    return out.select("row_id", "final_label", "final_conf", "decision_source", "filter_reason")
+
+
+_FIRST, _SECOND = ["ct", v.HYBRID, "us"], ["mrt_body", "mrt_hirn", "xray", v.ANGIO]
+_AGREE = f"""WITH {RECORDS}, a AS (SELECT *, cnn1_label IN ({", ".join(map(_quoted, _FIRST))}) AND cnn1_conf >= 0.6 AS one, cnn2_label IN ({", ".join(map(_quoted, _SECOND))}) AND cnn2_conf >= 0.6 AS two FROM records),
+b AS (SELECT *, CASE WHEN one THEN cnn1_label WHEN two THEN cnn2_label ELSE 'unknown' END AS final_label, CASE WHEN one THEN cnn1_conf WHEN two THEN cnn2_conf ELSE 0e0 END AS final_conf FROM a),
+d AS (SELECT row_id, final_label, final_conf, CASE WHEN trash_conf >= 0.75 AND greatest(cnn1_conf, cnn2_conf) <= 0.65 THEN 'cnn3_strong' WHEN trash_conf >= 0.5 AND greatest(cnn1_conf, cnn2_conf) <= 0.465 THEN 'cnn3_medium'
+  WHEN trash_conf > 0.96 AND final_conf < 0.45 AND cnn1_conf < 0.45 AND cnn2_conf < 0.45 THEN 'noconsent' WHEN rule_pred <> final_label OR final_conf < 0.55 THEN 'rule_cnn_disagreement' END AS filter_reason FROM b)"""
+
+
+def _agreed(spark, sf_dir):
+    return decide.decide_agreement(records(spark, sf_dir), _FIRST, _SECOND, threshold=0.6)
+
+
+@query(f"{_AGREE} SELECT row_id, final_label, round(final_conf, 6) AS final_conf, filter_reason FROM d")
+def decide_agreement(spark, sf_dir):
+    return _agreed(spark, sf_dir).select("row_id", "final_label", r6(F.col("final_conf")).alias("final_conf"), "filter_reason")
+
+
+@query(f"""WITH {RECORDS} SELECT row_id, CASE WHEN trash_conf >= 0.93 THEN 'cnn3_strong' WHEN trash_conf >= 0.65 AND cnn1_conf <= 0.5 AND cnn2_conf <= 0.5 THEN 'cnn3_medium'
+  WHEN trash_conf > 0.745 AND cnn1_conf < 0.7 AND cnn2_conf < 0.7 THEN 'noconsent' END AS filter_reason FROM records""")
+def decide_fusion(spark, sf_dir):
+    out = decide.decide_fusion(records(spark, sf_dir).withColumnsRenamed({"cnn1_conf": "bert_conf", "cnn2_conf": "cnn_conf"}))
+    return out.select("row_id", "filter_reason")
+
+
+@query(f"{_AGREE} SELECT filter_reason AS reason, count(*) AS n FROM d WHERE filter_reason IS NOT NULL GROUP BY 1")
+def reason_counts(spark, sf_dir):
+    return _agreed(spark, sf_dir).where("is_filtered").groupBy(F.col("filter_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_AGREE} SELECT count(*) AS total, count(filter_reason) AS filtered, count(*) - count(filter_reason) AS kept FROM d")
+def filter_stats(spark, sf_dir):
+    return report.filter_stats(_agreed(spark, sf_dir))
+
+
+@query(f"{_AGREE} SELECT round(100e0 * count(filter_reason) / count(*), 6) AS of_all, round(100e0 * count(filter_reason) / nullif(count(*) - count(filter_reason), 0), 6) AS of_kept FROM d")
+def filter_rates(spark, sf_dir):
+    rates = report.filter_rates(_agreed(spark, sf_dir))
+    return rates.select(*[r6(F.col(c).cast("double")).alias(c) for c in rates.columns])
+
+
+@query(f"""WITH {RECORDS}, r(n) AS (SELECT unnest(range(0, 4))) SELECT row_id, n AS round, cnn1_conf >= greatest(0.40e0, 0.58e0 - n * 0.02e0) AS plain,
+  cnn1_conf >= greatest(0.45e0, 0.72e0 - n * 0.025e0) AND cnn2_conf >= greatest(0.05e0, 0.18e0 - n * 0.01e0) AS fused FROM records, r""")
+def accept_gate_rounds(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    n = F.col("round")
+    return r.select("row_id", "round", decide.accepts(F.col("cnn1_conf"), n).alias("plain"), decide.accepts(F.col("cnn1_conf"), n, F.col("cnn2_conf")).alias("fused"))
+
+
+@query("SELECT n AS round, round(greatest(0.40e0, 0.58e0 - n * 0.02e0), 6) AS override, round(greatest(0.45e0, 0.72e0 - n * 0.025e0), 6) AS fusion FROM (SELECT unnest(range(0, 12)) AS n)")
+def threshold_schedule(spark, sf_dir):
+    n = F.col("id")
+    return spark.range(12).select(n.alias("round"), r6(s.adaptive_threshold(0.58, 0.40, n, 0.02)).alias("override"), r6(s.adaptive_threshold(0.72, 0.45, n, 0.025)).alias("fusion"))
+
+
+@query("WITH RECURSIVE t(n, x) AS (SELECT 0, 0.82e0 UNION ALL SELECT n + 1, greatest(0.55e0, x - (n + 1) * 0.04e0) FROM t WHERE n < 5) SELECT CAST(n AS BIGINT) AS round, round(x, 6) AS threshold FROM t")
+def threshold_compounded(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(refill.compounded(0.82, 0.55, 0.04, 6))), "round long, threshold double").select("round", r6(F.col("threshold")).alias("threshold"))
+
+
+def _refilled(spark, sf_dir, config, label, conf, gap):
+    rows = records(spark, sf_dir)
+    start = rows.where("row_id % 50 = 0").select("pmc_id", "row_id", label.alias("final_label"), conf.alias("final_conf"), gap.alias("final_margin"))
+
+    def score(chunk, threshold):
+        return chunk.withColumns({"final_label": label, "final_conf": conf, "final_margin": gap, "is_filtered": F.col("trash_conf") >= 0.976})
+
+    return refill.refill(rows, start, score, C, config).select("pmc_id", "row_id", "final_label")
+
+
+@query()
+def refill_override(spark, sf_dir):
+    config = refill.RefillConfig(per_class=30, chunk=200, max_rounds=6, micro_round_failures=100)
+    return _refilled(spark, sf_dir, config, F.col("rule_pred"), F.lit(1.0), F.lit(1.0))
+
+
+@query()
+def refill_fusion(spark, sf_dir):
+    config = refill.RefillConfig(per_class=30, chunk=200, max_rounds=6, micro_round_failures=100, use_margin=True)
+    return _refilled(spark, sf_dir, config, F.col("cnn1_label"), F.col("cnn1_conf"), F.col("cnn2_conf"))
+
+
+# Reports and views.
+
+
+@query(f"WITH {RECORDS} SELECT coalesce(modality_gt, 'MISSING') AS value, count(*) AS n FROM records WHERE row_id < 500 GROUP BY 1")
+def modality_distribution_head(spark, sf_dir):
+    return report.head_distribution(records(spark, sf_dir), "modality_gt", 500)
+
+
+@query(f"WITH {RECORDS} SELECT modality_gt AS value, count(*) AS n FROM records GROUP BY 1")
+def value_counts_nulls(spark, sf_dir):
+    return report.value_counts(records(spark, sf_dir), "modality_gt")
+
+
+@query(f"WITH {RECORDS} SELECT rule_pred AS value, count(*) AS n, round(100e0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM records GROUP BY 1")
+def label_distribution(spark, sf_dir):
+    return report.distribution(records(spark, sf_dir), "rule_pred").withColumn("percent", r6(F.col("percent").cast("double")))
+
+
+def _viewed(spark, sf_dir):
+    cap = captions(spark, sf_dir).select("doc_id", F.col("text").alias("caption"))
+    return _agreed(spark, sf_dir).withColumnsRenamed({"cnn1_label": "cnn_pred", "cnn2_label": "cnn3_pred"}).join(cap, "doc_id")
+
+
+_VIEW = _AGREE.replace("WITH ", f"WITH {CAPTIONS_SQL}, ", 1) + ", v AS (SELECT records.*, d.final_label, d.filter_reason, captions.text AS caption FROM records JOIN d USING (row_id) JOIN captions USING (doc_id))"
+
+
+@query(f"{_VIEW} SELECT row_id, CAST(row_id AS VARCHAR) || ' | RULE=' || rule_pred || ' | CNN=' || cnn1_label || ' | CNN3=' || cnn2_label || ' | FINAL=' || final_label || ' | ' || substr(caption, 1, 60) AS line FROM v")
+def viewer_list(spark, sf_dir):
+    return report.listing(_viewed(spark, sf_dir))
+
+
+@query(f"{_VIEW} SELECT row_id, CASE WHEN coalesce(filter_reason, '') LIKE '%cnn3%' THEN 'trash' WHEN lower(trim(rule_pred)) = lower(trim(cnn1_label)) THEN 'agree' ELSE 'disagree' END AS status FROM v")
+def viewer_status(spark, sf_dir):
+    return _viewed(spark, sf_dir).select("row_id", report.status().alias("status"))
+
+
+@query(f"{_VIEW} SELECT row_id FROM v WHERE filter_reason ILIKE '%disagreement%'")
+def viewer_disagreements(spark, sf_dir):
+    return _viewed(spark, sf_dir).where(F.col("filter_reason").ilike("%disagreement%")).select("row_id")
+
+
+@query(f"{_VIEW} SELECT row_id FROM v WHERE regexp_matches(lower(caption), 'mri|pmc4') OR regexp_matches(lower(pmc_id), 'mri|pmc4')")
+def viewer_search(spark, sf_dir):
+    return decide.any_column_matches(_viewed(spark, sf_dir).select("row_id", "pmc_id", "caption"), "mri|pmc4").select("row_id")
+
+
+@query(f"{_AGREE} SELECT row_id, final_label, CASE WHEN filter_reason IS NULL THEN 'final' ELSE 'disagreement' END AS viewer_source, filter_reason FROM d WHERE filter_reason IS NULL OR filter_reason LIKE '%disagreement%'")
+def viewer_union(spark, sf_dir):
+    a = _agreed(spark, sf_dir)
+    tables = {"final": a.where("not is_filtered").select("row_id", "final_label"), "disagreements": a.where(F.col("filter_reason").contains("disagreement")).select("row_id", "final_label", "filter_reason")}
+    return report.dataset("all", tables)
+
+
+@query(f"WITH {RECORDS} SELECT row_id FROM records WHERE cnn1_conf < 0.4 OR cnn2_conf / (cnn1_conf + 1e-6) < 0.03")
+def viewer_uncertain(spark, sf_dir):
+    return report.only_uncertain(records(spark, sf_dir).withColumn("uncertain", s.is_uncertain(F.col("cnn1_conf"), F.col("cnn2_conf")))).select("row_id")
+
+
+@query("SELECT doc_id AS row_id, coalesce(lag(doc_id, 1) OVER w, -1) AS prev1, coalesce(lag(doc_id, 2) OVER w, -1) AS prev2, coalesce(lead(doc_id, 1) OVER w, -1) AS next1, coalesce(lead(doc_id, 2) OVER w, -1) AS next2 FROM documents WINDOW w AS (ORDER BY doc_id)")
+def viewer_neighbors(spark, sf_dir):
+    return report.neighbours(records(spark, sf_dir), pages=300).na.fill(-1)
+
+
+@query(f"WITH {RECORDS}, x AS (SELECT row_id, 'rule_pred' AS name, rule_pred AS value FROM records UNION ALL SELECT row_id, 'modality_gt', modality_gt FROM records UNION ALL SELECT row_id, 'row_id', CAST(row_id AS VARCHAR) FROM records) SELECT row_id AS key, name, value FROM x")
+def viewer_detail(spark, sf_dir):
+    return report.details(records(spark, sf_dir).select("row_id", "rule_pred", "modality_gt"), "row_id")
+
+
+@query("SELECT doc_id AS row_id, CASE WHEN doc_id % 6 = 0 THEN 'unknown' END AS pred_label, CASE WHEN doc_id % 6 = 0 THEN 'empty_text' END AS decision_reason, CAST(NULL AS VARCHAR) AS \"BERT_score\", CAST(19 AS BIGINT) AS n_columns FROM documents")
+def csv_required_columns(spark, sf_dir):
+    d = records(spark, sf_dir).select("row_id", "pmc_id", F.when(F.col("doc_id") % 6 == 0, " ").otherwise("caption").alias("caption"))
+    out = report.with_required_columns(d)
+    return out.select("row_id", "pred_label", "decision_reason", "BERT_score", F.lit(len(out.columns)).cast("long").alias("n_columns"))
+
+
+@query(f"""WITH {RECORDS}, d AS (SELECT row_id, pmc_id, rule_pred FROM records) SELECT row_id, CASE WHEN row_id % 3 = 0 THEN '/img/' || rule_pred || '/' || pmc_id || '_' || CAST(row_id AS VARCHAR) || '.jpg'
+  WHEN row_id % 3 = 1 THEN '/img/' || pmc_id || '_' || CAST(row_id AS VARCHAR) || '.jpg' END AS image_path FROM d""")
+def image_path_lookup(spark, sf_dir):
+    d = records(spark, sf_dir).withColumn("final_label", F.lit(None).cast("string"))
+    name = F.concat("pmc_id", F.lit("_"), F.col("row_id").cast("string"), F.lit(".jpg"))
+    paths = d.select(F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("/img/"), "rule_pred", F.lit("/"), name)).when(F.col("row_id") % 3 == 1, F.concat(F.lit("/img/"), name)).alias("path"))
+    return images.looked_up(d, paths.where("path is not null"), "/img").select("row_id", "image_path")
+
+
+@query("SELECT 'f' || CAST(doc_id % 40 AS VARCHAR) || '.jpg' AS name, max('/d' || CAST(doc_id % 7 AS VARCHAR) || '/f' || CAST(doc_id % 40 AS VARCHAR) || '.jpg') AS path FROM documents WHERE doc_id % 3 > 0 GROUP BY 1")
+def image_index(spark, sf_dir):
+    i = F.col("doc_id")
+    suffix = F.when(i % 3 == 0, ".txt").otherwise(".jpg")
+    paths = records(spark, sf_dir).select(F.concat(F.lit("/d"), (i % 7).cast("string"), F.lit("/f"), (i % 40).cast("string"), suffix).alias("path"))
+    return images.file_index(paths)
+
+
+@query()
+def cnn_forward_numpy(spark, sf_dir):
+    """A small network over synthetic pictures made of a document's number; every ninth row has none."""
+    d = records(spark, sf_dir).where("row_id < 40").select("row_id", F.when(F.col("row_id") % 9 > 0, F.unhex(F.repeat(F.sha2(F.col("row_id").cast("string"), 256), 6))).alias("jpg"))
+    weights = images.random_weights(3, [4, 8], 16)
+    decode = lambda raw: np.frombuffer(raw, np.uint8).reshape(8, 8, 3)
+    out = images.score_images(d, ["jpg"], decode, weights, [True, False], side=16)
+    return out.select("row_id", F.size("scores").alias("n_scores"), s.top_label(F.col("scores"), ["a", "b", "c"]).alias("label"))
+
+
+@query("SELECT column_name AS name, CASE WHEN column_name IN ('doc_id', 'n_chars') THEN 'bigint' ELSE 'string' END AS type FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name)")
+def schema_peek(spark, sf_dir):
+    return report.schema_peek(spark.read.parquet(f"{sf_dir}/documents.parquet"))
