@@ -30,10 +30,13 @@ def top_per_class(df: DataFrame, label: str, order: list[Column], k: int, rank:
     return few.withColumn(rank, F.row_number().over(Window.partitionBy(label).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
-def local_balance(accepted: DataFrame, pool: DataFrame, k: int, classes: list[str]) -> DataFrame:
-    """Accepted rows first, then the pool in hash order, ``k`` of each class; a key already accepted or standing
-    in the pool again counts once."""
-    both = accepted.withColumn("tier", F.lit(0)).unionByName(pool.withColumn("tier", F.lit(1))).where(F.col("final_label").isin(classes))
+def local_balance(accepted: DataFrame, pool: DataFrame, k: int, classes: list[str], new: DataFrame | None = None) -> DataFrame:
+    """Accepted rows first, then ``new`` ones, then the pool, each in hash order, ``k`` of each class; a key that
+    stands in several of them, or twice in one, counts once."""
+    both = accepted.withColumn("tier", F.lit(0)).unionByName(pool.withColumn("tier", F.lit(1)))
+    if new is not None:
+        both = both.withColumn("tier", 2 * F.col("tier")).unionByName(new.withColumn("tier", F.lit(1)))
+    both = both.where(F.col("final_label").isin(classes))
     h = stable_hash(F.col("pmc_id"), F.col("row_id"))
     first = first_of_key(both.withColumn("h", h), ["pmc_id", "row_id"], [F.col("tier"), F.col("final_label")])
     return top_per_class(first, "final_label", [F.col("tier"), F.col("h"), F.col("row_id")], k)

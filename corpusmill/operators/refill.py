@@ -91,7 +91,7 @@ def refill(rows: DataFrame, accepted: DataFrame, score: Callable[[DataFrame, flo
         before = state.count()
         if config.pool_bypass:
             pool = pool.unionByName(low).unionByName(scored.where(F.col("final_label").isin(classes) & ~F.col("final_label").isin(missing)))
-        chosen = balance.local_balance(state.unionByName(good), pool, config.per_class, classes).select(columns)
+        chosen = balance.local_balance(state, pool, config.per_class, classes, new=good).select(columns)
         state = kept(chosen, f"state-{n:03d}")
         pool = kept(pool, f"pool-{n:03d}")
         used = kept(used.unionByName(fresh.select("pmc_id", "row_id")), f"used-{n:03d}")
