@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Logistic boosting with histogram splits; every tree is a full binary tree of ``depth`` levels."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, smooth: float = 2.0):
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.25, bins: int = 32, smooth: float = 2.0):
         self.trees, self.depth, self.rate, self.bins, self.smooth = trees, depth, rate, bins, smooth
 
     def _binned(self, x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ _ARTICLE = [
 _NAV = [("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="navbar">', "</div>"), ('<nav class="main-nav" role="navigation">', "</nav>"), ('<div class="breadcrumbs">', "</div>"), ("<div>", "</div>"), ('<div class="pagination">', "</div>")]
 _HEADER = [("<header>", "</header>"), ('<div class="header">', "</div>"), ('<div id="masthead">', "</div>"), ('<header class="site-header">', "</header>"), ('<div class="top-banner">', "</div>")]
 _FOOTER = [("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="colophon">', "</div>"), ('<footer class="site-footer">', "</footer>"), ('<div class="copyright legal">', "</div>")]
-_SIDE = [("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<aside class="related">', "</aside>"), ('<div id="right-rail" class="widget">', "</div>"), ('<section class="recommended">', "</section>"), ('<div class="more-stories">', "</div>")]
+_SIDE = [("<aside>", "</aside>"), ("<aside>", "</aside>"), ("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<aside class="related">', "</aside>"), ('<div id="right-rail" class="widget">', "</div>"), ('<section class="recommended">', "</section>"), ('<div class="more-stories">', "</div>")]
 _AD = [('<div class="ad">', "</div>"), ('<div class="advert">', "</div>"), ('<div id="ads-top">', "</div>"), ('<aside class="sponsored">', "</aside>"), ('<p class="promo">', "</p>"), ('<section class="advertisement">', "</section>"), ('<div class="ad-slot">', "</div>")]
 _NOTICE = [('<div class="cookie-notice">', "</div>"), ('<div id="consent">', "</div>"), ('<div class="alert">', "</div>"), ('<div class="gdpr modal" role="dialog">', "</div>"), ('<p class="notice">', "</p>"), ('<section class="announcement">', "</section>"), ('<div class="cookie-banner">', "</div>"), ("<dialog>", "</dialog>")]
 _COMMENTS = [('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment-list">', "</div>"), ('<section id="disqus_thread">', "</section>"), ('<div class="reader-comments">', "</div>"), ('<div class="responses discussion">', "</div>")]
@@ -69,7 +69,7 @@ class _Writer:
 
     def aside(self) -> str:
         r = self.rng
-        inner = (f"<h3>{self.words(1, 4)}</h3>" if r.random() < 0.6 else "") + (self.links() if r.random() < 0.7 else "".join(f"<p>{self.words(5, 40)}</p>" for _ in range(r.randint(1, 3))))
+        inner = (f"<h3>{self.words(1, 4)}</h3>" if r.random() < 0.6 else "") + r.choice([self.links, self.links, lambda: "".join(f"<p>{self.words(5, 40)}</p>" for _ in range(r.randint(1, 3))), lambda: self.words(3, 40)])()
         return self.part(_SIDE, inner)
 
     def ad(self) -> str:
@@ -95,6 +95,8 @@ class _Writer:
     def article(self) -> str:
         r = self.rng
         out = [f"<h1>{self.text(3, 14, True)}</h1>"] if r.random() < 0.85 else []
+        if out and r.random() < 0.15:
+            out = [r.choice(["<header>", '<header class="entry-header">']) + out[0] + "</header>"]
         for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])):
             kind = r.random()
             if kind < 0.78:
@@ -107,10 +109,10 @@ class _Writer:
                 out.append(f"<blockquote><p>{self.text(10, 50, True)}</p></blockquote>")
             elif kind < 0.94:
                 out.append("<table>" + "".join(f"<tr><td>{self.text(1, 5, True)}</td><td>{self.text(1, 5, True)}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>")
-            elif kind < 0.97:
-                out.append(f"<figure><img src=a.jpg><figcaption>{self.text(3, 15, True)}</figcaption></figure>" if r.random() < 0.5 else f"<section><h3>{self.text(2, 6, True)}</h3>{self.paragraph(True)}</section>")
             else:
-                out.append(r.choice([self.ad, self.aside, self.form, self.notice])())
+                out.append(f"<figure><img src=a.jpg><figcaption>{self.text(3, 15, True)}</figcaption></figure>" if r.random() < 0.5 else f"<section><h3>{self.text(2, 6, True)}</h3>{self.paragraph(True)}</section>")
+            if r.random() < 0.16:
+                out.append(r.choice([self.ad, self.aside, self.aside, self.form, self.notice])())
         if r.random() < 0.12:
             out.append(self.comments())
         if r.random() < 0.1:
