@@ -66,10 +66,13 @@ def required_literal(pattern: str) -> str:
     return best
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    literal = required_literal(pattern)
-    hit = text.rlike(UNICODE + pattern)
-    return F.contains(text, F.lit(literal)) & hit if literal else hit
+def _quoted(x: str) -> str:
+    return 'r"' + x + '"'  # raw: no pattern holds a double quote
+
+
+def _table(patterns: list[str]) -> Column:
+    """The patterns with their guards as one literal array: the plan stays small however many there are."""
+    return F.expr("array(" + ", ".join(f"named_struct('l', {_quoted(required_literal(p))}, 'p', {_quoted(p)}, 'r', {_quoted(UNICODE + p)})" for p in patterns) + ")")
 
 
 def hits(text: Column, book: Rulebook) -> Column:
@@ -77,14 +80,17 @@ def hits(text: Column, book: Rulebook) -> Column:
     order. ``text`` must be normalized for rules."""
     per_label = []
     for pos, (label, patterns) in enumerate(book.patterns.items()):
-        found = F.array_compact(F.array(*[F.when(_matches(text, p), F.lit(p)) for p in patterns]))
-        per_label.append(
-            F.struct(
-                F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.size(found).alias("score"), F.lit(book.priority[label]).alias("priority"),
-                F.lit(label in v.FILTER_CLASSES).alias("is_filter"), found.alias("patterns"),
-            )
-        )
-    return F.filter(F.array(*per_label), lambda x: x["score"] > 0)
+        found = F.filter(_table(patterns), lambda x: F.contains(text, x["l"]) & F.rlike(text, x["r"]))
+        about = F.struct(F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.lit(book.priority[label]).alias("priority"), F.lit(label in v.FILTER_CLASSES).alias("is_filter"))
+        per_label.append(F.struct(about.alias("about"), F.transform(found, lambda x: x["p"]).alias("patterns")))
+    # The matches are found first and counted after, or each would be looked for twice.
+    some = F.filter(F.array(*per_label), lambda x: F.size(x["patterns"]) > 0)
+    return F.transform(
+        some,
+        lambda x: F.struct(
+            x["about"]["label"].alias("label"), x["about"]["pos"].alias("pos"), F.size(x["patterns"]).alias("score"), x["about"]["priority"].alias("priority"), x["about"]["is_filter"].alias("is_filter"), x["patterns"].alias("patterns")
+        ),
+    )
 
 
 def _best(found: Column) -> Column:

@@ -17,13 +17,22 @@ MODALITIES = ["R", "N", "M", "V"]
 TAIL = 200
 
 
+SMALL = 64 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, since one small file is one partition; a large one as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, row_id, pmc_id, text, modality_gt (null for every eleventh), source."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % len(TEMPLATES)).cast("int") + 1)
     tail = F.substring(F.coalesce("text", F.lit("")), 1, TAIL)
     modality = F.when(F.col("doc_id") % 11 != 0, F.element_at(F.array(*map(F.lit, MODALITIES)), (F.col("doc_id") % 4).cast("int") + 1))
-    return d.select("doc_id", F.col("doc_id").alias("row_id"), F.concat(F.lit("PMC"), F.col("doc_id") % 500).alias("pmc_id"), F.concat(template, F.lit(" "), tail).alias("text"), modality.alias("modality_gt"), "source")
+    return spread_small(d).select("doc_id", F.col("doc_id").alias("row_id"), F.concat(F.lit("PMC"), F.col("doc_id") % 500).alias("pmc_id"), F.concat(template, F.lit(" "), tail).alias("text"), modality.alias("modality_gt"), "source")
 
 
 def _values(rows) -> str:
