@@ -100,20 +100,23 @@ def _flight(pdf: pd.DataFrame) -> pd.DataFrame:
     rng = np.random.default_rng([int(pdf["sid"].iloc[0]), int(pdf["block"].iloc[0]), int(pdf["blocks"].iloc[0])])
     p = fly(size, pdf["p"].to_numpy(), KEEP, rng)
     pdf["p"] = land(size, p) if last else p
-    return pdf[["sid", "doc_id", "size", "p"]]
+    return pdf[["sid", "doc_id", "size", "p", "blocks"]]
 
 
 def balanced_picks(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sid, doc_id, size, p) -> the same rows with p 0 or 1, sums by sid kept."""
-    done, left = None, units
+    """(sid, n, doc_id, size, p) -> (sid, doc_id, size, p) with p 0 or 1, sums by sid kept; n: rows of the sid.
+
+    A source flies in as many blocks as its rows need, so a large one is spread over many tasks. A block hands
+    on KEEP rows at most, which tells the number of blocks of the next round.
+    """
+    done, left = None, units.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")).drop("n")
     while True:
-        blocks = left.groupBy("sid").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("long").alias("blocks"))
-        dealt = left.join(blocks, "sid").withColumn("salt", F.xxhash64("doc_id", "size")).withColumn("block", F.pmod("salt", "blocks"))
+        dealt = left.withColumn("salt", F.xxhash64("doc_id", "size")).withColumn("block", F.pmod("salt", "blocks"))
         flown = dealt.select("sid", "doc_id", "size", "p", "salt", "blocks", "block").groupBy("sid", "block")
-        now = staged(flown.applyInPandas(_flight, "sid long, doc_id long, size long, p double"), "mix-flight")
-        decided = now.where("p = 0 or p = 1")
+        now = staged(flown.applyInPandas(_flight, "sid long, doc_id long, size long, p double, blocks long"), "mix-flight")
+        decided = now.where("p = 0 or p = 1").drop("blocks")
         done = decided if done is None else done.unionByName(decided)
-        left = now.where("p > 0 and p < 1")
+        left = now.where("p > 0 and p < 1").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("blocks") * KEEP / block)).cast("long"))
         if left.isEmpty():
             return done
 
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> D
     units = sized.join(own, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     copies = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor(copies).cast("long")
-    picked = balanced_picks(units.select("sid", "doc_id", "size", (copies - whole).alias("p")))
+    picked = balanced_picks(units.select("sid", "n", "doc_id", "size", (copies - whole).alias("p")))
     return picked.join(target, "sid").select("doc_id", "size", "source_size", "target", (F.col("size") * (whole + F.col("p").cast("long"))).alias("taken"))
 
 
