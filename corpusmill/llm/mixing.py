@@ -140,7 +140,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", **how) -> D
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` as the mix takes them: left out, once or twice."""
+    """``docs`` as the mix takes them: left out, once or twice. Documents without words stay once. Matched by
+    doc_id: where one repeats, each of its rows stands as often as the mix takes the most taken of them."""
     taken = mix(docs, text, source, **how).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias("__n"))
-    rows = docs.join(taken.where("__n > 0"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    most = taken.groupBy("__id").agg(F.max("__n").alias("__n")).where("__n > 0")
+    rows = docs.join(most, docs["doc_id"].eqNullSafe(F.col("__id")))
     return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n", "__k")
