@@ -33,13 +33,15 @@ def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The hashes (h) of lines that stand on at least ``min_sites`` distinct sites."""
+    # One row a line and site, summed before it is shuffled: from here a very common line is as many rows as it has sites.
+    sites = staged(lines.groupBy("h", "site").agg(F.count(F.lit(1)).alias("n")), "line-by-site")
     # A line has no more sites than occurrences, so rarer lines need no sketch.
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h")
-    some = lines.select("h", "site").join(often, "h", "left_semi")
+    often = sites.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_sites).select("h")
+    some = sites.select("h", "site").join(often, "h", "left_semi")
     sketch = some.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"))
     guess = staged(sketch.select("h", F.hll_sketch_estimate("s").alias("sites")), "line-sites")
     near = guess.where(F.col("sites").between(LOW * min_sites, HIGH * min_sites)).select("h")
-    exact = lines.select("h", "site").join(near, "h", "left_semi").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    exact = sites.select("h").join(near, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return guess.where(F.col("sites") > HIGH * min_sites).select("h").unionByName(exact.where(F.col("n") >= min_sites).select("h"))
 
 
