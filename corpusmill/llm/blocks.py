@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Characters of a block (a longer document is a block of its own), and input bytes for one hash range.
 BLOCK_CHARS = 4 << 20
 RANGE_BYTES = 12 << 20
@@ -58,7 +60,7 @@ def _blocks(batches):
     """(block id, doc_ids, texts) until the rows end."""
     base = seq = size = 0
     ids, texts = [], []
-    for batch in batches:
+    for batch in small(batches):
         base = batch.column(2)[0].as_py() << 32 if batch.num_rows else base
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(i)

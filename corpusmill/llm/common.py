@@ -7,7 +7,6 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,11 +95,6 @@ class Words:
         return acc[at], at
 
 
-def encoded(column) -> list[bytes]:
-    """An Arrow string column as bytes; null is b""."""
-    return [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.to_pylist()]
-
-
 def chunks(texts: list, limit: int = 1 << 20):
     """Slices of a list of texts of about ``limit`` bytes or characters each, so that arrays stay small; all texts, none cut."""
     begin = size = 0
@@ -113,6 +107,8 @@ def chunks(texts: list, limit: int = 1 << 20):
         yield begin, len(texts)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that further columns of the input cannot clash with ours."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def small(batches, rows: int = 512):
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

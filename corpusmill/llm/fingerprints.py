@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small
 
 K = 12
 PARTS = 64
@@ -144,7 +144,7 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _compare(batches):
     def rows():
-        for batch in batches:
+        for batch in small(batches):
             yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
         yield None, True, None, ""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix64, staged
+from .common import Words, chunks, mix64, small, staged
 from .graph import components
 
 #: Minhashes in one part of a table key.
@@ -74,7 +74,7 @@ def _signer(size: int, m: int, part: int):
         return count, keys.view(np.int64), parts.view(np.int64)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 count, keys, parts = sign(texts[a:b])
@@ -109,7 +109,7 @@ def _probes(column: str, bits: int = BLOOM_BITS):
 def _full_sets(size: int, wanted):
     def run(batches):
         bits = wanted.value
-        for batch in batches:
+        for batch in small(batches):
             hit = np.flatnonzero(bits[batch.column(2).to_numpy()] & bits[batch.column(3).to_numpy()])
             if not len(hit):
                 continue

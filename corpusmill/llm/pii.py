@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, staged
+from .common import Words, chunks, small, staged
 from .near_dedup import BLOOM_BITS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -112,7 +112,7 @@ def _near(text: str, a: int, b: int) -> tuple[list[bytes], int]:
 
 def _contexts(batches):
     """(entity, term, context) once per document and pair; the entity itself with an empty term."""
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text in batch.column(0).to_pylist():
             seen = set()
@@ -158,7 +158,7 @@ def _document_counts(bits):
     """(term, documents of this batch that hold it) for the terms asked for."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 4096):
             texts = batch.column(0).to_pylist()
             count: dict[bytes, int] = {}
             for a, b in chunks(texts):
@@ -195,7 +195,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", min_contexts: int = MI
 
 def _found(bits):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             maybe: list[list] = [[] for _ in texts]
             if bits.value.any():

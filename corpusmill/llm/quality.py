@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix64, staged
+from .common import Words, chunks, mix64, small, staged
 
 #: metric -> (smallest upper fence, largest lower fence): the fence never comes nearer than this, so that
 #: a uniform clean group, whose quartiles coincide, loses nothing. None: no fence on that side.
@@ -68,7 +68,7 @@ def _stats(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def _text_stats(batches):
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         parts = [_stats(texts[a:b]) for a, b in chunks(texts)]
         if parts:
