@@ -17,18 +17,22 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, mix64, small, staged
 
-#: metric -> (smallest upper fence, largest lower fence): the fence never comes nearer than this, so that
-#: a uniform clean group, whose quartiles coincide, loses nothing. None: no fence on that side.
+#: metric -> (fence above, fence below, statistic it is a share of, size of one event in it). The sketches alone
+#: set the fences.
 FENCES = {
-    "symbol_share": (0.04, None),  # symbols per word character
-    "shout_share": (0.05, None),  # exclamation and question marks per word character
-    "upper_share": (0.40, None),  # A-Z per word character
-    "dup_line_share": (0.50, None),
-    "repeat_share": (0.45, None),
-    "mean_word_chars": (12.0, 2.5),
+    "symbol_share": (True, False, "word_chars", 1),  # symbols per word character
+    "shout_share": (True, False, "word_chars", 1),  # exclamation and question marks per word character
+    "upper_share": (True, False, "word_chars", 1),  # A-Z per word character
+    "dup_line_share": (True, False, "n_lines", 1),
+    "repeat_share": (True, False, "n_words", 6),  # a group of three words that stands twice
+    "mean_word_chars": (True, True, "n_words", 1),
 }
 MIN_GROUP = 50
 REACH = 3.0
+#: So many events beyond the fence reject nothing: a short text reaches any share by one or two.
+EVENTS = 3
+#: Ranks at which the language's sketch is read for its mean distance from the median.
+GRID = [(2 * i + 1) / 200 for i in range(100)]
 SKETCH_K = 400
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_shouts long, n_upper long"
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
@@ -97,7 +101,9 @@ def _metrics(df: DataFrame) -> DataFrame:
 def learned_thresholds(stats: DataFrame, min_group: int = MIN_GROUP, reach: float = REACH, k: int = SKETCH_K) -> DataFrame:
     """(lang_of, source_of) -> fences, from sketches of all documents that pass the base rules.
 
-    An upper fence is max(q75 + reach * (q75 - q25), the floor in FENCES); a lower one mirrors it.
+    An upper fence is q75 + reach * max(q75 - q25, d); a lower one mirrors it. d is the mean distance from the
+    median over the language, or over all where the language is small, so that a group whose quartiles coincide
+    still has a width, and one that is learned.
     """
     base = stats.where(~F.col("base_failed"))
     leaf = base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in FENCES])
@@ -109,15 +115,20 @@ def learned_thresholds(stats: DataFrame, min_group: int = MIN_GROUP, reach: floa
     rows = known.join(leaf, F.col("l").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left").drop("lang", "source")
     rows = rows.join(wider, F.col("l").eqNullSafe(F.col("lang1")), "left").join(F.broadcast(whole), F.col("one") == F.col("one2"), "left")  # whole: at most one row
     for m in FENCES:
-        rows = rows.withColumn(m, F.when(F.col("n") >= min_group, F.col(m)).when(F.col("n1") >= min_group, F.col(f"{m}1")).otherwise(F.col(f"{m}2")))
-    at = lambda m, q: F.when(F.col("n2") > 0, F.kll_sketch_get_quantile_double(m, F.lit(q)))
+        wide = F.when(F.col("n1") >= min_group, F.col(f"{m}1")).otherwise(F.col(f"{m}2"))
+        rows = rows.withColumns({m: F.when(F.col("n") >= min_group, F.col(m)).otherwise(wide), f"{m}_wide": wide})
+    at = lambda m, q: F.when(F.col("n2") > 0, F.kll_sketch_get_quantile_double(m, q))
+    for m in FENCES:
+        rows = rows.withColumns({f"{m}_low": at(m, F.lit(0.25)), f"{m}_high": at(m, F.lit(0.75)), f"{m}_mid": at(f"{m}_wide", F.lit(0.5)), f"{m}_grid": at(f"{m}_wide", F.array(*map(F.lit, GRID)))})
     out = []
-    for m, (upper, lower) in FENCES.items():
-        low, high = at(m, 0.25), at(m, 0.75)
-        if upper is not None:
-            out.append(F.greatest(high + reach * (high - low), F.lit(upper)).alias(f"{m}_max"))
-        if lower is not None:
-            out.append(F.least(low - reach * (high - low), F.lit(lower)).alias(f"{m}_min"))
+    for m, (upper, lower, *_) in FENCES.items():
+        low, high, mid = F.col(f"{m}_low"), F.col(f"{m}_high"), F.col(f"{m}_mid")
+        away = F.aggregate(f"{m}_grid", F.lit(0.0), lambda a, x: a + F.abs(x - mid)) / len(GRID)  # noqa: B023
+        width = reach * F.greatest(high - low, away)
+        if upper:
+            out.append((high + width).alias(f"{m}_max"))
+        if lower:
+            out.append((low - width).alias(f"{m}_min"))
     return rows.select(F.col("l").alias("lang_of"), F.col("s").alias("source_of"), *out)
 
 
@@ -131,11 +142,12 @@ def quality_verdicts(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     stats = staged(_metrics(text_stats(docs, text)), "quality-stats")
     limits = learned_thresholds(stats, **how)
     fine = F.lit(True)
-    for m, (upper, lower) in FENCES.items():
-        if upper is not None:
-            fine = fine & F.coalesce(F.col(m) <= F.col(f"{m}_max"), F.lit(True))
-        if lower is not None:
-            fine = fine & F.coalesce(F.col(m) >= F.col(f"{m}_min"), F.lit(True))
+    for m, (upper, lower, whole, event) in FENCES.items():
+        few = F.coalesce(F.try_divide(F.lit(EVENTS * event), F.col(whole)), F.lit(0.0))
+        if upper:
+            fine = fine & F.coalesce(F.col(m) <= F.col(f"{m}_max") + few, F.lit(True))
+        if lower:
+            fine = fine & F.coalesce(F.col(m) >= F.col(f"{m}_min") - few, F.lit(True))
     same = F.col("lang").eqNullSafe(F.col("lang_of")) & F.col("source").eqNullSafe(F.col("source_of"))
     joined = stats.join(limits, same, "left").drop("lang_of", "source_of")
     return joined.withColumn("kept", ~F.col("base_failed") & fine)

@@ -83,6 +83,15 @@ def test_quality_learns_per_source(spark):
     assert all(got[1000 + i].kept for i in range(200))  # and usual there
 
 
+def test_quality_fences_are_learned(spark):
+    r = random.Random(2)
+    text = lambda k, mark: " ".join("".join(r.choices("abcdefgh", k=k)) + (mark if w % 8 == 0 else "") for w in range(80))
+    odd = {7: text(5, "#"), 8: text(9, ""), 9: text(5, "") + " one #"}
+    rows = [(i, odd.get(i % 40, "") or text(5, ""), "en", "plain") for i in range(200)]
+    got = by_id(quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert all(got[i].kept == (i % 40 not in (7, 8)) for i in range(200))  # a share of 0.024 and nine letters a word are odd here, one mark is not
+
+
 def test_quality_filter_keeps_columns(docs):
     out = quality.quality_filter(docs)
     assert out.columns == docs.columns
