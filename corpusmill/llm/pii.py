@@ -1,8 +1,8 @@
 """Personal data: fixed kinds by pattern, and terms that give a protected entity away by what the corpus knows.
 
-An entity is a value found by pattern. A term that stands near it in several different contexts tells
-log2(P(entity | term) / P(entity)) bits about it; where that is most of the bits that single the entity out,
-the term is disclosed with it: it is generalised or, still closer, removed wherever it stands.
+An entity is a value found by pattern. A term that stands on its line tells log2(P(entity | term) / P(entity))
+bits about it; where that is most of the bits that single the entity out, the term is disclosed with it: it is
+generalised or, still closer, removed wherever it stands.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,10 @@ from .common import Words, chunks, small, staged
 from .near_dedup import BLOOM_BITS
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are looked at, and code points in which they are looked for.
-WINDOW, REACH = 4, 96
+#: Contexts in which a term must meet an entity; all of them where the entity has fewer.
 MIN_CONTEXTS = 3
+#: Added to a term's documents: one meeting proves less than many.
+SMOOTH = 0.5
 #: Shares of the bits that identify the entity: from GENERALISE a term is generalised, from REMOVE removed.
 GENERALISE, REMOVE = 0.90, 0.97
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,33 +100,47 @@ def _terms(raw: bytes) -> list[bytes]:
     return [w for w in raw.translate(_PLAIN).lower().split() if len(w) >= 3 and not w.isdigit()]
 
 
-def _near(text: str, a: int, b: int) -> tuple[list[bytes], int]:
-    """The terms around an entity, and a hash that tells one context from another."""
-    left = text[max(0, a - REACH) : a]
-    right = text[b : b + REACH]
-    if a > REACH:  # a cut word is no term
-        left = left[left.find(" ") + 1 :] if " " in left else ""
-    if len(right) == REACH:
-        right = right[: right.rfind(" ")] if " " in right else ""
-    terms = _terms(left.encode("utf-8", "surrogatepass"))[-WINDOW:] + _terms(right.encode("utf-8", "surrogatepass"))[:WINDOW]
-    return terms, int.from_bytes(hashlib.blake2b(b" ".join(terms), digest_size=8).digest(), "little", signed=True)
+def _line_terms(text: str, begin: int, end: int, spans) -> tuple[set[str], int]:
+    """The terms of a line outside the entities, and a hash that tells one context from another."""
+    parts, at = [], begin
+    for a, b in sorted(spans):
+        parts.append(text[at : max(a, at)])
+        at = max(at, b)
+    terms = _terms(" ".join([*parts, text[at:end]]).encode("utf-8", "surrogatepass"))
+    return {t.decode("utf-8", "replace") for t in terms}, int.from_bytes(hashlib.blake2b(b" ".join(terms), digest_size=8).digest(), "little", signed=True)
+
+
+def _meetings(text: str):
+    """(entity, term, context, first) for each entity, term and context of a document; ``first`` is 1 in one row a pair.
+
+    The entity itself comes with an empty term, a term on any entity's line with an empty entity.
+    """
+    lines: dict[tuple[int, int], list] = {}
+    for kind, a, b in base_spans(text):
+        end = text.find("\n", b)
+        lines.setdefault((text.rfind("\n", 0, a) + 1, len(text) if end < 0 else end), []).append((f"{kind}:{text[a:b].lower()}", a, b))
+    of: dict[str, dict[int, set[str]]] = {}
+    every: set[str] = set()
+    for (begin, end), found in lines.items():
+        terms, context = _line_terms(text, begin, end, [x[1:] for x in found])
+        every |= terms
+        for entity, _, _ in found:
+            of.setdefault(entity, {})[context] = terms
+    yield from (("", t, 0, 1) for t in every)
+    for entity, contexts in of.items():
+        seen: set[str] = set()
+        for context, terms in contexts.items():
+            for t in {*terms, ""}:
+                yield entity, t, context, int(t not in seen)
+            seen |= terms | {""}
 
 
 def _contexts(batches):
-    """(entity, term, context) once per document and pair; the entity itself with an empty term."""
+    names, kinds = ["entity", "term", "context", "first"], (pa.string(), pa.string(), pa.int64(), pa.int64())
     for batch in small(batches):
-        out = []
-        for text in batch.column(0).to_pylist():
-            seen = set()
-            for kind, a, b in base_spans(text or ""):
-                entity = f"{kind}:{text[a:b].lower()}"
-                terms, context = _near(text, a, b)
-                for t in {*terms, b""}:
-                    if (entity, t) not in seen:
-                        seen.add((entity, t))
-                        out.append((entity, t.decode("utf-8", "replace"), context))
-        kinds = (pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["entity", "term", "context"])
+        rows = (r for text in batch.column(0).to_pylist() for r in _meetings(text or ""))
+        while out := list(islice(rows, 65536)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
 def _hits(raw: list[bytes], bits: np.ndarray):
@@ -173,24 +189,28 @@ def _document_counts(bits):
 def disclosing_terms(docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, share: float = GENERALISE) -> DataFrame:
     """(term, share, entity): terms that tell at least ``share`` of the bits that identify an entity.
 
-    Counts cover all documents. A term needs ``min_contexts`` different contexts, so that copies of one text
-    disclose nothing by being many.
+    Counts cover all documents. A term needs ``min_contexts`` different contexts, or all where the entity has
+    fewer, and meets an entity no more often than in different contexts, so that copies of one text disclose
+    nothing by being many.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    near = staged(rows.mapInArrow(_contexts, "entity string, term string, context long"), "pii-contexts")
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.count_distinct("context").alias("contexts"))
-    known = pairs.where("term = ''").select("entity", F.col("both").alias("n_entity"))
-    asked = staged(pairs.where((F.col("term") != "") & (F.col("contexts") >= min_contexts)), "pii-candidates")
-    bits = spark.sparkContext.broadcast(_term_bits(asked.select("term").distinct()))
-    held = rows.mapInArrow(_document_counts(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    near = staged(rows.mapInArrow(_contexts, "entity string, term string, context long, first long"), "pii-contexts")
     total = docs.count()
-    told = asked.join(held, "term").join(known, "entity")
+    pairs = near.where("entity != ''").groupBy("entity", "term").agg(F.sum("first").alias("docs"), F.count_distinct("context").alias("contexts"))
+    pairs = staged(pairs.withColumn("both", F.least("docs", "contexts")), "pii-pairs")
+    known = pairs.where("term = ''").select("entity", F.col("docs").alias("n_entity"), F.col("contexts").alias("n_contexts"))
+    # More documents than stand here hold a term, so what falls short already can't reach the share.
+    beside = near.where("entity = ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     bits_of = lambda p: -F.log2(p)
-    own = F.least(F.lit(1.0), F.col("both") / F.col("n_term"))
     alone = F.col("n_entity") / F.lit(float(max(total, 1)))
-    told = told.withColumn("share", F.when(alone < 1, 1 - bits_of(own) / bits_of(alone)))
-    return told.where(F.col("share") >= share).groupBy("term").agg(F.max("share").alias("share"), F.max_by("entity", F.struct("share", "entity")).alias("entity"))
+    told = F.when(alone < 1, 1 - bits_of(F.least(F.lit(1.0), F.col("both") / (F.col("n_term") + SMOOTH))) / bits_of(alone))
+    some = pairs.where("term != ''").join(known, "entity").where(F.col("contexts") >= F.least(F.lit(min_contexts), F.col("n_contexts")))
+    asked = staged(some.join(beside, "term").where(told >= share).drop("n_term"), "pii-candidates")
+    bits = spark.sparkContext.broadcast(_term_bits(asked.select("term").distinct()))
+    held = rows.mapInArrow(_document_counts(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    found = asked.join(held, "term").withColumn("share", told)
+    return found.where(F.col("share") >= share).groupBy("term").agg(F.max("share").alias("share"), F.max_by("entity", F.struct("share", "entity")).alias("entity"))
 
 
 def _found(bits):

@@ -316,6 +316,16 @@ def test_personal_data(spark, docs, rows):
     assert "joe@" not in clean[0].text and "<EMAIL>" in clean[0].text and "zorgel" not in clean[70].text and clean[71].text is None
 
 
+def test_terms_disclose_rare_entities(spark):
+    plain = "these are the usual words that stand in every text of the table"
+    texts = [plain] * 60 + [f"{plain}\nthe usual words quorvax {plain} solo@mail.example.com", f"vintrel text one@mail.example.com\n{plain}\nthe vintrel words one@mail.example.com\nusual vintrel one@mail.example.com sombat"]
+    got = by_id(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    terms = lambda i: {texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x) if k in ("term", "gone")}
+    assert all(got[i].spans == "" for i in range(60))
+    assert terms(60) == {"quorvax"}  # an address in one document, twelve words further on
+    assert terms(61) == {"vintrel"}  # three lines of one document; sombat is on one of them
+
+
 def test_empty_tables(nothing):
     for out in (quality.quality_verdicts(nothing), near_dedup.near_duplicates(nothing), drop_spread_lines(nothing), mixing.mix(nothing), bpe.digest(bpe.encode(nothing)), lm.score(nothing), fingerprints.compared(nothing), pii.find_personal_data(nothing)):
         assert out.count() == 0
