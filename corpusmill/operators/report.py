@@ -49,18 +49,34 @@ def listing(df: DataFrame) -> DataFrame:
     return df.select("row_id", line.alias("line"))
 
 
-def neighbours(df: DataFrame, order: str = "row_id", reach: int = 2, pages: int = 1000) -> DataFrame:
-    """Each row with the ids up to ``reach`` places before and after it.
+def neighbours(df: DataFrame, order: str = "row_id", reach: int = 2, parts: int | None = None) -> DataFrame:
+    """Each row with the ids up to ``reach`` places before and after it, however far away they are.
 
-    Rows are dealt to pages of ids; a page also gets the rows at the edge of the pages beside it, so that no
-    task sorts all rows. Ids must be unique and dense enough that a page holds ``reach`` of them.
+    Rows are dealt by rank to ``parts`` ranges (as many as shuffles have partitions), so that no task sorts all
+    rows. The driver sees the ids at the edges of the ranges, and each range also gets those next to it. Ids must be
+    unique numbers.
     """
-    page = F.floor(F.col(order) / pages)
-    spread = df.select(order).withColumn("home", page)
-    copies = spread.withColumn("page", F.explode(F.array("home", F.col("home") - 1, F.col("home") + 1)))
-    w = Window.partitionBy("page").orderBy(order)
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(order)
+    bounds = rows.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0]
+    at = F.filter(F.array(*map(F.lit, sorted(set(bounds or [])))), lambda x: x < F.col(order)) if bounds else F.array()
+    spread = rows.withColumns({"part": F.size(at), "home": F.lit(True)})
+    w = Window.partitionBy("part").orderBy(order)
+    ranked = spread.withColumns({"k": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("part"))})
+    edge: dict[int, list] = {}
+    for r in ranked.where((F.col("k") <= reach) | (F.col("k") > F.col("n") - reach)).select("part", order).collect():  # 2 * reach rows a range
+        if r[order] is not None:
+            edge.setdefault(r["part"], []).append(r[order])
+    ids = [sorted(edge[p]) for p in sorted(edge)]
+    beside = []
+    for j, p in enumerate(sorted(edge)):
+        # So many ranges to either side hold reach rows, or all there are.
+        before, after = sum(ids[max(0, j - reach) : j], []), sum(ids[j + 1 : j + 1 + reach], [])
+        beside += [(x, p, False) for x in [*before[-reach:], *after[:reach]]]
+    copies = spread.unionByName(spark.createDataFrame(beside, spread.schema))
     columns = {f"prev{k}": F.lag(order, k).over(w) for k in range(1, reach + 1)} | {f"next{k}": F.lead(order, k).over(w) for k in range(1, reach + 1)}
-    return copies.withColumns(columns).where("home = page").drop("home", "page")
+    return copies.withColumns(columns).where("home").drop("home", "part")
 
 
 def details(df: DataFrame, key: str) -> DataFrame:

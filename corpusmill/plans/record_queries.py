@@ -420,7 +420,7 @@ def viewer_uncertain(spark, sf_dir):
 
 @query("SELECT doc_id AS row_id, coalesce(lag(doc_id, 1) OVER w, -1) AS prev1, coalesce(lag(doc_id, 2) OVER w, -1) AS prev2, coalesce(lead(doc_id, 1) OVER w, -1) AS next1, coalesce(lead(doc_id, 2) OVER w, -1) AS next2 FROM documents WINDOW w AS (ORDER BY doc_id)")
 def viewer_neighbors(spark, sf_dir):
-    return report.neighbours(records(spark, sf_dir), pages=300).na.fill(-1)
+    return report.neighbours(records(spark, sf_dir)).na.fill(-1)
 
 
 @query(f"WITH {RECORDS}, x AS (SELECT row_id, 'rule_pred' AS name, rule_pred AS value FROM records UNION ALL SELECT row_id, 'modality_gt', modality_gt FROM records UNION ALL SELECT row_id, 'row_id', CAST(row_id AS VARCHAR) FROM records) SELECT row_id AS key, name, value FROM x")

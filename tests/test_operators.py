@@ -204,6 +204,15 @@ def test_views(spark):
     assert report.filter_rates(spark.createDataFrame([(True,)], "is_filtered boolean")).first().of_kept is None
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_neighbours_across_gaps(spark, parts):
+    ids = sorted([5, 7, 4000, 90_000, 90_001, *range(200_000, 200_040), 10**9, 10**12])
+    got = {r.row_id: (r.prev2, r.prev1, r.next1, r.next2) for r in report.neighbours(spark.createDataFrame([(i,) for i in ids], "row_id long"), parts=parts).collect()}
+    far = [None, None, *ids, None, None]
+    assert got == {i: (far[k], far[k + 1], far[k + 3], far[k + 4]) for k, i in enumerate(ids)}
+    assert report.neighbours(spark.createDataFrame([], "row_id long"), parts=parts).count() == 0
+
+
 def test_stands_without_the_add_on(tmp_path):
     """The package imports and lists its queries where the llm folders are absent."""
     import shutil
