@@ -455,7 +455,7 @@ def image_index(spark, sf_dir):
 @query()
 def cnn_forward_numpy(spark, sf_dir):
     """A small network over synthetic pictures made of a document's number; every ninth row has none."""
-    d = records(spark, sf_dir).where("row_id < 40").select("row_id", F.when(F.col("row_id") % 9 > 0, F.unhex(F.repeat(F.sha2(F.col("row_id").cast("string"), 256), 6))).alias("jpg"))
+    d = records(spark, sf_dir).select("row_id", F.when(F.col("row_id") % 9 > 0, F.unhex(F.repeat(F.sha2(F.col("row_id").cast("string"), 256), 6))).alias("jpg"))
     weights = images.random_weights(3, [4, 8], 16)
     decode = lambda raw: np.frombuffer(raw, np.uint8).reshape(8, 8, 3)
     out = images.score_images(d, ["jpg"], decode, weights, [True, False], side=16)

@@ -39,6 +39,11 @@ def test_query(spark, duck, name):
     assert sorted(map(lambda r: tuple(map(cell, r)), got), key=key) == sorted(map(lambda r: tuple(map(cell, r)), want), key=key)
 
 
+def test_networks_score_every_row(spark, duck):
+    got = {r.row_id: r.n_scores for r in catalogue.QUERIES["cnn_forward_numpy"](spark, str(DATA)).collect()}
+    assert got == {i: 3 * (i % 9 > 0) for (i,) in duck.execute("SELECT doc_id FROM documents").fetchall()}
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
