@@ -341,6 +341,8 @@ def threshold_compounded(spark, sf_dir):
 def _refilled(spark, sf_dir, config, label, conf, gap):
     rows = records(spark, sf_dir)
     start = rows.where("row_id % 50 = 0").select("pmc_id", "row_id", label.alias("final_label"), conf.alias("final_conf"), gap.alias("final_margin"))
+    # A tenth of a class at most, however large the table: the chunks fill the rest.
+    start = balance.top_per_class(start, "final_label", [balance.stable_hash(F.col("pmc_id"), F.col("row_id")), F.col("row_id")], config.per_class // 10).drop("rank")
 
     def score(chunk, threshold):
         return chunk.withColumns({"final_label": label, "final_conf": conf, "final_margin": gap, "is_filtered": F.col("trash_conf") >= 0.976})
@@ -350,14 +352,12 @@ def _refilled(spark, sf_dir, config, label, conf, gap):
 
 @query()
 def refill_override(spark, sf_dir):
-    config = refill.RefillConfig(per_class=30, chunk=200, max_rounds=6, micro_round_failures=100)
-    return _refilled(spark, sf_dir, config, F.col("rule_pred"), F.lit(1.0), F.lit(1.0))
+    return _refilled(spark, sf_dir, refill.OVERRIDE, F.col("rule_pred"), F.lit(1.0), F.lit(1.0))
 
 
 @query()
 def refill_fusion(spark, sf_dir):
-    config = refill.RefillConfig(per_class=30, chunk=200, max_rounds=6, micro_round_failures=100, use_margin=True)
-    return _refilled(spark, sf_dir, config, F.col("cnn1_label"), F.col("cnn1_conf"), F.col("cnn2_conf"))
+    return _refilled(spark, sf_dir, refill.FUSION, F.col("cnn1_label"), F.col("cnn1_conf"), F.col("cnn2_conf"))
 
 
 # Reports and views.

@@ -1,5 +1,6 @@
 """Every registered query of the engine against its SQL on the same tables."""
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -44,6 +45,18 @@ def test_networks_score_every_row(spark, duck):
     assert got == {i: 3 * (i % 9 > 0) for (i,) in duck.execute("SELECT doc_id FROM documents").fetchall()}
 
 
+@pytest.mark.parametrize(("name", "per_class"), [("refill_override", 5000), ("refill_fusion", 1000)])
+def test_refill_reads_until_classes_are_full(spark, tmp_path, name, per_class):
+    spark.range(16000).selectExpr("id AS doc_id", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    count = Counter(r.final_label for r in rows)
+    assert len(rows) == len({r.row_id for r in rows}) and len(count) == 7
+    if name == "refill_override":  # a ninth of the rows each, but for the filtered ones: no class is full, so all are read
+        assert all(1600 < n < per_class for n in count.values()) and max(r.row_id for r in rows) > 14500
+    else:
+        assert all(n == per_class for n in count.values())
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
