@@ -165,7 +165,7 @@ for _p in ("override", "agreement", "fusion"):
 
 @query()
 def ocr_narrowed_captions(spark, sf_dir):
-    c = captions(spark, sf_dir).withColumn("ocr_text", _ocr("doc_id"))
+    c = captions(spark, sf_dir, tail_chars=None).withColumn("ocr_text", _ocr("doc_id"))
     return panels.narrow_to_panels(c).select("doc_id", "text", "ocr_used", "ocr_text", F.size("ocr_selected_texts").alias("n_texts"))
 
 

@@ -13,7 +13,7 @@ TEMPLATES = [
     "Imaging. (A) Axial CT scan of chest shows nodule. (B) Coronal CT image of the abdomen now.", "Findings as shown in (A) are typical. Panels differ.", "Panel B, Figure 2C: rabbit_liver MRI",
 ]
 MODALITIES = ["R", "N", "M", "V"]
-#: Characters of the document that follow the template.
+#: Characters of the document that follow the template where a query is compared with SQL.
 TAIL = 200
 
 
@@ -26,11 +26,12 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, row_id, pmc_id, text, modality_gt (null for every eleventh), source."""
+def captions(spark: SparkSession, sf_dir: str, tail_chars: int | None = TAIL) -> DataFrame:
+    """doc_id, row_id, pmc_id, text, modality_gt (null for every eleventh), source. ``tail_chars`` None: whole texts."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     template = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("doc_id") % len(TEMPLATES)).cast("int") + 1)
-    tail = F.substring(F.coalesce("text", F.lit("")), 1, TAIL)
+    tail = F.coalesce("text", F.lit(""))
+    tail = tail if tail_chars is None else F.substring(tail, 1, tail_chars)
     modality = F.when(F.col("doc_id") % 11 != 0, F.element_at(F.array(*map(F.lit, MODALITIES)), (F.col("doc_id") % 4).cast("int") + 1))
     return spread_small(d).select("doc_id", F.col("doc_id").alias("row_id"), F.concat(F.lit("PMC"), F.col("doc_id") % 500).alias("pmc_id"), F.concat(template, F.lit(" "), tail).alias("text"), modality.alias("modality_gt"), "source")
 

@@ -45,6 +45,13 @@ def test_networks_score_every_row(spark, duck):
     assert got == {i: 3 * (i % 9 > 0) for (i,) in duck.execute("SELECT doc_id FROM documents").fetchall()}
 
 
+def test_ocr_narrows_whole_captions(spark, duck):
+    got = {r.doc_id: r for r in catalogue.QUERIES["ocr_narrowed_captions"](spark, str(DATA)).collect()}
+    whole = {i: len(t or "") for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    plain = [i for i in whole if not got[i].ocr_used and whole[i] > 300]
+    assert plain and all(len(got[i].text) >= whole[i] for i in plain)
+
+
 @pytest.mark.parametrize(("name", "per_class"), [("refill_override", 5000), ("refill_fusion", 1000)])
 def test_refill_reads_until_classes_are_full(spark, tmp_path, name, per_class):
     spark.range(16000).selectExpr("id AS doc_id", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
