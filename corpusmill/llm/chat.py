@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 #: Control strings of this template and of other public chat templates.
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
@@ -103,7 +105,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     rows = rows.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text")
-    return rows.mapInArrow(_render(loss_role), RENDERED)
+    return in_batches(rows, _render(loss_role), RENDERED)
 
 
 def _digest(batches):
@@ -136,5 +138,9 @@ def _digest(batches):
 
 
 def conversation_digest(rendered: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the output of ``format_conversations`` by the parser."""
-    return rendered.mapInArrow(_digest, DIGEST)
+    """One row per conversation, read back from the output of ``format_conversations`` by the parser.
+
+    The rows must lie as ``format_conversations`` left them. Null ids are one conversation, no rows give no rows;
+    a conversation without a turn under the loss mask has 0 characters and the hash of the empty text.
+    """
+    return in_batches(rendered, _digest, DIGEST)

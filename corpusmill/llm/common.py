@@ -21,10 +21,13 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and set.
+    Only where that setting is absent and Spark runs within one machine (tests) a temporary folder is made and
+    set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +43,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``staged`` returned, once nothing will read it again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Bytes of one Arrow batch that goes to a Python worker, and rows of it.
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 2000
+
+
+def in_batches(df: DataFrame, f, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, so that neither side holds many whole texts at once.
+
+    The settings are the session's own; where the user has set them they stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        if df.sparkSession.conf.get(key, None) is None:
+            df.sparkSession.conf.set(key, str(most))
+    return df.mapInArrow(f, schema)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (bijective)."""
     h = h ^ (h >> np.uint64(30))

@@ -2,7 +2,9 @@
 
 The k-mers of a text are numbered by occurrence and hashed; in each of M parts of the hash space the L
 smallest are selected, put back into text order and hashed as a tuple. Equal entries of two fingerprints
-estimate a likeness that falls with edits and with reordering.
+estimate a likeness that falls with edits and with reordering. The M selections come from one hash whose range is
+cut into M parts (an empty part takes the next full one's tuple), instead of from M hashes, and an entry keeps 16
+bits of its tuple's hash; a test holds the estimate against that of M independent hashes.
 """
 
 from __future__ import annotations
@@ -10,12 +12,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small
+from .common import in_batches, mix64, small, staged
 
 K = 12
 PARTS = 64
@@ -23,7 +24,6 @@ L = 2
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(58)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_LOWEST = -(1 << 63)
 
 
 def _kmers(codes: np.ndarray) -> np.ndarray:
@@ -101,81 +101,71 @@ def shown(x: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text) -> (doc_id, fingerprint) of every whole text; null text counts as empty ("")."""
+    """(doc_id, text) -> (doc_id, fingerprint) of every whole text.
+
+    Null text counts as empty (""). Null and repeated ids and repeated rows each give a row, an empty table none;
+    further columns are ignored.
+    """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shown(fingerprint(t or "")) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return in_batches(rows, run, "doc_id long, fingerprint string")
 
 
-def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (range, aside, doc_id, text) sorted in partitions so that each document's next one, by descending
-    doc_id, follows it; the next one of a range's last document stands behind it with ``aside`` true.
-
-    The ids are cut into as many ranges as there are shuffle partitions. Only the largest id of each range
-    goes to the driver, and only the documents with those ids are sent to a second range.
-    """
-    spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _ordered(docs: DataFrame, text: str) -> DataFrame:
+    """(part, doc_id, text): ranges of documents, each sorted by descending doc_id, null last, then by the text's
+    hash; a range stands behind the one before it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(_LOWEST))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10000).alias("c")).first()["c"] or []
-    bounds = np.array(sorted(set(cuts)), np.int64)
-
-    @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "left").astype(np.int64))
-
-    dealt = rows.withColumn("range", range_of(key))
-    tops = dealt.groupBy("range").agg(F.max(key).alias("top")).orderBy("range").collect()  # a row a range
-    after = {tops[k - 1]["top"]: tops[k]["range"] for k in range(1, len(tops))}
-    if tops:
-        after.setdefault(tops[-1]["top"], tops[0]["range"])
-    if len(tops) == 1:
-        after = {tops[0]["top"]: tops[0]["range"]}
-    extra = F.create_map(*[F.lit(x).cast("long") for pair in after.items() for x in pair]) if after else F.lit(None).cast("map<long,long>")
-    aside = dealt.where(key.isin(list(after))).withColumn("range", F.element_at(extra, key)).withColumn("aside", F.lit(True))
-    both = dealt.withColumn("aside", F.lit(False)).unionByName(aside)
-    order = ["range", "aside", F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    return both.repartition(n, "range").sortWithinPartitions(*order).select("range", "aside", "doc_id", "text")
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+
+
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "first", "last"]
+
+
+def _row(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray) -> tuple:
+    cut = len(text) // 3
+    edited = text[: len(text) - cut] + following[:cut]
+    changed = own if edited == text else fingerprint(edited)
+    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(changed), likeness(own, changed), likeness(own, other)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], _NAMES)
 
 
 def _compare(batches):
-    def rows():
-        for batch in small(batches):
-            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
-        yield None, True, None, ""
-
-    def pairs():
-        """(doc_id, text, next text); a range ends with the row set aside for its last document."""
-        held = None
-        for r, aside, doc_id, text in rows():
-            if held is not None and held[0] == r:
-                yield held[1], held[2], text
-            held = None if aside else (r, doc_id, text)
-
-    out, before = [], (None, None)
-    for doc_id, text, following in pairs():
-        own = before[1] if before[0] is text else fingerprint(text)
-        cut = len(text) // 3
-        edited = text[: len(text) - cut] + following[:cut]
-        changed = own if edited == text else fingerprint(edited)
-        other = fingerprint(following)
-        before = (following, other)
-        out.append((doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(changed), likeness(own, changed), likeness(own, other)))
-        if len(out) >= 512:
-            yield _batch(out)
-            out = []
+    """A row for each document but the range's last; then one with the first text of the range and the last
+    document, whose next one lies in another range."""
+    part, first, held, out = None, None, None, []
+    for batch in small(batches):
+        for p, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = held[2] if held and held[1] == text else fingerprint(text)
+            if held is None:
+                part, first = p, text
+            else:
+                out.append((*_row(*held, text, own), None, None, None))
+            held = doc_id, text, own
+            if len(out) >= 256:
+                yield _batch(out)
+                out = []
+    if held is not None:
+        out.append((held[0], None, None, None, None, None, None, part, first, held[1]))
     if out:
         yield _batch(out)
 
 
-def _batch(rows):
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+def _edges(batches):
+    for batch in small(batches, 16):
+        out = []
+        for doc_id, text, following in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out.append((*_row(doc_id, text, fingerprint(text), following, fingerprint(following)), None, None, None))
+        if out:
+            yield _batch(out).select(_NAMES[:7])
 
 
 def compared(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,4 +176,11 @@ def compared(docs: DataFrame, text: str = "text") -> DataFrame:
     first. Null text counts as empty. Repeated rows are documents of their own. A single document is its own
     next. An empty table gives an empty result. Further columns are ignored.
     """
-    return with_next(docs, text).mapInArrow(_compare, SCHEMA)
+    found = staged(in_batches(_ordered(docs, text), _compare, f"{SCHEMA}, part int, first string, last string"), "fingerprints")
+    edges = found.where("part is not null").select("part", "doc_id", "first", "last")  # a row a range
+    by_part = Window.orderBy("part")
+    after = edges.select(F.col("part").alias("at"), F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("next"))
+    pairs = edges.join(after, F.col("part") == F.col("at")).select("doc_id", F.col("last").alias("text"), "next")
+    pairs = pairs.join(edges.select("part", "first"), F.col("next") == F.col("part")).select("doc_id", "text", "first")
+    last = in_batches(pairs, _edges, SCHEMA)
+    return found.where("part is null").drop("part", "first", "last").unionByName(last)

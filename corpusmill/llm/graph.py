@@ -1,26 +1,46 @@
-"""Connected components over an edge table, as rounds of DataFrame joins."""
+"""Connected components over an edge table, as rounds of DataFrame joins; joins that no hot key can slow."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
+
+#: A key is hot if it has more than one in so many of all rows, so there are at most so many hot keys.
+HOT_SHARE = 1000
+#: Below this a key is never hot.
+HOT_LEAST = 256
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``table``, which has one row a key and in ``c`` how many of the ``total`` rows
+    have it. Hot keys, HOT_SHARE at most, are broadcast, so their rows stay where they are; no task reads more
+    than a small part of the rest. ``c`` goes.
+    """
+    most = max(HOT_LEAST, total // HOT_SHARE)
+    hot = F.broadcast(table.where(F.col("c") > most).drop("c"))
+    light = rows.join(F.broadcast(table.where(F.col("c") > most).select(*keys)), keys, "left_anti").join(table.where(F.col("c") <= most).drop("c"), keys)
+    return rows.join(hot, keys).unionByName(light)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``edges`` (a, b long) -> (node, component): the smallest node that each node reaches.
 
     Alternating large-star and small-star rounds: each hangs neighbours on the smallest known node and
-    keeps no more edges than it got. The minimum of a node's neighbours is a partial aggregate, so a node
-    with very many edges is pre-aggregated; the join back can be split by AQE. Each round is written to
-    the shared folder. Nodes without an edge don't appear.
+    keeps no more edges than it got. The minimum of a node's neighbours is a partial aggregate; nodes with
+    very many edges get it by broadcast. Each round is written to the shared folder and the one before it
+    deleted. Null ends don't count, loops and repeated edges change nothing. Nodes without an edge don't appear.
     """
     now = staged(_clean(edges.select("a", "b")), name)
     mark = _mark(now)
     while True:
-        now = staged(_small_star(_large_star(now)), name)
-        seen = _mark(now)
+        half = staged(_large_star(now, 2 * mark[0]), name)
+        new = staged(_small_star(half, mark[0]), name)
+        seen = _mark(new)
+        discard(half)
+        discard(now)
+        now = new
         if seen == mark:
             break
         mark = seen
@@ -38,14 +58,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    larger = both.where("b > a").join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("c"))
+    larger = joined_by_key(both.where("b > a"), least, ["a"], total)
     return _clean(larger.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    hung = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _clean(hung.unionByName(least.select("a", F.col("m").alias("b"))))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c"))
+    hung = joined_by_key(edges, least, ["a"], total)
+    return _clean(hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))

@@ -5,12 +5,18 @@ from __future__ import annotations
 import html
 import re
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden|href)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe svg math object textarea select option button canvas audio video head title".split())
+#: A quote opens a value only right after "="; one that is never closed is part of an unquoted value.
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_PAIR = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR})*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+", re.S)
+#: The attributes that are looked at.
+_KNOWN = frozenset("class id role itemprop style hidden aria-hidden href".split())
+#: Elements whose content is no text of the page, or not shown where their markup is.
+RAW = frozenset("script style noscript template iframe textarea select option canvas audio video head title annotation annotation-xml desc metadata defs".split())
 #: Of these, the ones whose content is not parsed as markup.
 _UNPARSED = frozenset("script style textarea title iframe noscript".split())
+_RUNNING = frozenset("p li td th dd dt blockquote figcaption h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary dialog center hgroup search menu".split())
 _CLOSES_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "thead", "tbody", "tfoot"}
@@ -29,7 +35,13 @@ class Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip() else {}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        name, value = m[1].lower(), m[2] or ""
+        if name in _KNOWN and name not in found:
+            quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+            found[name] = html.unescape(value[1:-1] if quoted else value)
+    return found
 
 
 def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -83,7 +95,8 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
                 else:
                     flush()
             continue
-        if name in RAW:
+        # A button within running text is part of it; elsewhere it belongs to a form.
+        if name in RAW or (name == "button" and not any(n.tag in _RUNNING for n in stack)):
             if name in _UNPARSED:
                 stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = stop.end() if stop else end

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
+from .common import in_batches
 from .html_dom import Node, parse
 from .html_samples import sample_pages
 
@@ -180,4 +181,4 @@ def main_text(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAG
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(extract(sources[a : a + 100], model.value)), pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    return rows.mapInArrow(run, SCHEMA)
+    return in_batches(rows, run, SCHEMA)

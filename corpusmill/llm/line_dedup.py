@@ -1,7 +1,9 @@
 """Cross-site boilerplate lines, by the number of distinct sites that carry a line.
 
 Everything here is DataFrame expressions. HyperLogLog sketches of the sites, one per line hash, merge by
-aggregation; only lines whose estimate lies near the threshold get an exact distinct count.
+aggregation; only lines whose estimate lies near the threshold get an exact distinct count. The count is taken
+twice: over all documents, then over those that are not mostly made of the lines found first. All lines of a
+document that was copied to many sites stand on many sites; those that stand in unlike documents too are boilerplate.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ MIN_SITES = 10
 #: Estimates outside MIN_SITES * (LOW, HIGH) decide by themselves; the sketch's error is far smaller.
 LOW, HIGH = 0.75, 1.33
 LG_K = 12
-#: A document of which at least this share would go is a copy, not a page with boilerplate.
+#: A document that consists of widespread lines by at least this share is no evidence that they are boilerplate.
 COPY_SHARE = 0.5
 _BLANK = " \t\x0b\x0c\r"
 
@@ -45,26 +47,36 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return guess.where(F.col("sites") > HIGH * min_sites).select("h").unionByName(exact.where(F.col("n") >= min_sites).select("h"))
 
 
+def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
+    """The hashes (h) of lines that stand on ``min_sites`` distinct sites in documents of which lines on so many sites
+    are less than ``copy_share``."""
+    wide = staged(spread_lines(lines, min_sites), "line-wide")
+    hit = F.when(F.col("wide"), F.col("size")).otherwise(0)
+    share = lines.join(wide.withColumn("wide", F.lit(True)), "h", "left").groupBy("id", "th").agg(F.sum("size").alias("whole"), F.sum(hit).alias("gone"))
+    unlike = share.where((F.col("gone") > 0) & (F.col("gone") < copy_share * F.col("whole"))).select(F.col("id").alias("u"), F.col("th").alias("uh"))
+    some = lines.join(wide, "h", "left_semi")
+    return spread_lines(some.join(unlike, some["id"].eqNullSafe(F.col("u")) & (some["th"] == F.col("uh")), "left_semi"), min_sites)
+
+
 def drop_spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; every document stays.
 
-    Two columns are added, ``__lines`` and ``__removed`` (long): its lines with a word, and those taken out.
-    Lines are split at \\n and compared without surrounding blanks; lines without a word are never touched.
-    A line that stands on ``min_sites`` distinct sites is taken out wherever it stands, unless lines with at
-    least ``copy_share`` of a document's characters would go: such a document is itself one of many copies
-    and is left whole for near-duplicate removal. A null site is one site. Null text stays null. Repeated
-    rows are treated alike. Further columns pass through. An empty table gives an empty result.
+    Two columns are added, ``__lines`` and ``__removed`` (long): its lines with a word, and those taken out; columns of
+    these names in ``docs`` are replaced. Lines are split at \\n and compared without surrounding blanks; lines
+    without a word are never touched. A boilerplate line (see ``boilerplate_lines``) is taken out wherever it stands,
+    in documents of nothing else too. A null site is one site. Null text stays null. Repeated rows are treated
+    alike, rows with a null doc_id by their texts. Further columns pass through. An empty table gives an empty result.
     """
     lines = staged(_lines(docs, text, site), "lines")
-    spread = staged(spread_lines(lines, min_sites), "line-spread")
-    hits = lines.join(spread, "h", "left_semi").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("hit"))
-    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("hit.pos").alias("__pos"), F.expr("aggregate(hit.size, 0L, (a, x) -> a + x)").alias("__gone"))
-    tagged = docs.withColumn("__h", F.xxhash64(text))
-    out = tagged.join(hits, tagged["doc_id"].eqNullSafe(hits["__id"]) & (tagged["__h"] == hits["__th"]), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    trimmed = F.filter(F.transform(parts, lambda x: F.length(F.btrim(x, F.lit(_BLANK)))), lambda n: n > 0)
-    out = out.withColumns({"__lines": F.coalesce(F.size(trimmed), F.lit(0)).cast("long"), "__all": F.aggregate(trimmed, F.lit(0).cast("long"), lambda a, x: a + x)})
-    cut = F.col("__pos").isNotNull() & (F.col("__gone") < copy_share * F.col("__all"))
+    spread = staged(boilerplate_lines(lines, min_sites, copy_share), "line-spread")
+    hits = lines.join(spread, "h", "left_semi").groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("__pos"))
+    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__pos")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__doc"), F.col(text).alias("__text"), F.xxhash64(text).alias("__h"))
+    out = rows.join(hits, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    parts = F.split("__text", "\n", -1)
+    full = F.size(F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__pos"))
-    text_left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    return out.withColumns({text: F.when(cut, text_left).otherwise(F.col(text)), "__removed": F.when(cut, F.size("__pos")).otherwise(0).cast("long")}).drop("__h", "__id", "__th", "__pos", "__gone", "__all")
+    left = F.when(F.col("__pos").isNotNull(), F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")).otherwise(F.col("__text"))
+    own = [left.alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("__lines", "__removed")]
+    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(full).cast("long")
+    return out.select(*own, n_lines.alias("__lines"), F.coalesce(F.size("__pos"), F.lit(0)).cast("long").alias("__removed"))

@@ -3,7 +3,8 @@
 Table keys are pairs: key (i, j) joins the i-th part of one small hash collection with the j-th part of
 another, so ``2 * m`` parts give ``m * m`` tables. Only documents that share part i with another are
 carried to the pairs. Documents that share a key are candidates; the links among them are confirmed on
-whole sets, so the tables decide only what is compared.
+whole sets, so the tables decide only what is compared. Candidate clusters too large for one task are first cut
+where no two documents share one of their rarest shingles, as linked documents must.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix64, small, staged
-from .graph import components
+from .common import Words, chunks, discard, in_batches, mix64, small, staged
+from .graph import components, joined_by_key
 
 #: Minhashes in one part of a table key.
 PART = 4
 #: Chance that a pair exactly at the threshold shares no part of a collection.
 MISS = 1e-5
-#: Documents of one candidate cluster that a task compares at once; larger clusters are dealt in chunks.
-CHUNK = 1024
+#: Bytes of the shingle sets that a task compares at once; larger clusters are cut, or dealt in chunks.
+CHUNK_BYTES = 8 << 20
 LEADERS = 16
-QUERIES = 256
-BLOOM_BITS = 1 << 23
+#: Bits of a filter for each value it holds; the most bits one may have. Beyond that ids are joined instead.
+BITS_EACH, MAX_BITS = 16, 1 << 27
+#: Buckets in which the shingles of large clusters are counted, so that the rare ones are known.
+BUCKETS = 1 << 20
 
 
 def parts_for(threshold: float, part: int = PART, miss: float = MISS) -> int:
@@ -90,40 +93,54 @@ def _signer(size: int, m: int, part: int):
 def signatures(docs: DataFrame, size: int, m: int, part: int = PART, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, the 128-bit key (k1, k2) of the shingle set, and the parts u and v of table keys."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return df.mapInArrow(_signer(size, m, part), "doc_id long, n_shingles long, k1 long, k2 long, u array<long>, v array<long>")
+    return in_batches(df, _signer(size, m, part), "doc_id long, n_shingles long, k1 long, k2 long, u array<long>, v array<long>")
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bit set of fixed size (1 MB) over a column's values; two bits for each."""
+def filter_bits(values: int) -> int:
+    """Bits of a filter for so many values: a power of two, MAX_BITS at most."""
+    return min(MAX_BITS, max(1 << 16, 1 << (BITS_EACH * values - 1).bit_length()))
+
+
+def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit set over a column's values; two bits for each."""
     at = df.select(F.explode(F.array(*_probes(column, bits))).alias("p"))
     rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toPandas()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy()] = rows["x"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def has_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the bit numbers are set."""
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _probes(column: str, bits: int = BLOOM_BITS):
+def _probes(column: str, bits: int):
     return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)) for k in (1, 2)]
 
 
 def _full_sets(size: int, wanted):
     def run(batches):
-        bits = wanted.value
+        bits = wanted.value if wanted else None
         for batch in small(batches):
-            hit = np.flatnonzero(bits[batch.column(2).to_numpy()] & bits[batch.column(3).to_numpy()])
-            if not len(hit):
-                continue
-            batch = batch.take(pa.array(hit))
+            if bits is not None:
+                batch = batch.take(pa.array(np.flatnonzero(has_bits(bits, batch.column(2).to_numpy()) & has_bits(bits, batch.column(3).to_numpy()))))
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 gram, count = _shingles(texts[a:b], size)
-                ends = np.cumsum(count)
-                sets = [gram[e - n : e].tobytes() for e, n in zip(ends, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], ["node", "grams"])
+                ends = np.concatenate(([0], np.cumsum(count * 8))).astype(np.int32)
+                sets = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(gram)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], ["node", "grams"])
 
     return run
 
 
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    """Binary values as arrays of shingles; they stay in the column's buffer."""
+    raw, where = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else []
+    return [np.frombuffer(raw, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64) for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)] if len(column) else []
+
+
 def _linked(sets: list[np.ndarray], first: int | None, percent: int) -> list[tuple[int, int]]:
     """Links (i, j) that connect whatever the confirmed links among ``sets`` connect.
 
@@ -132,10 +149,11 @@ def _linked(sets: list[np.ndarray], first: int | None, percent: int) -> list[tup
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
     flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat, kind="stable").astype(np.int32)
     flat, owner = flat[order], owner[order]
+    del order
     root, members, links = np.arange(n), {i: [i] for i in range(n)}, []
 
     def compare(q):
@@ -172,42 +190,55 @@ def _confirm(percent: int, only_queries: bool):
 
     def close(rows):
         rows.sort(key=lambda r: not r[0])
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         first = sum(r[0] for r in rows) if only_queries else None
-        return [(rows[i][1], rows[j][1]) for i, j in _linked(sets, first, percent)] if len(rows) > 1 else []
+        return [(rows[i][1], rows[j][1]) for i, j in _linked([r[2] for r in rows], first, percent)] if len(rows) > 1 else []
+
+    def batch_of(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        key, rows, out = None, [], []
+        key, rows = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for *g, query, node, grams in zip(*columns, strict=True):
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            query, node, sets = batch.column(3).to_pylist(), batch.column(4).to_pylist(), _sets_of(batch.column(5))
+            for i, g in enumerate(map(tuple, group.tolist())):
                 if g != key:
-                    out += close(rows)
+                    if links := close(rows):
+                        yield batch_of(links)
                     key, rows = g, []
-                rows.append((query, node, grams))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        if out := close(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                rows.append((query[i], node[i], sets[i]))
+        if links := close(rows):
+            yield batch_of(links)
 
     return run
 
 
 def _links(rows: DataFrame, percent: int, only_queries: bool) -> DataFrame:
     parts = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
-    return parts.select("g1", "g2", "g3", "query", "node", "grams").mapInArrow(_confirm(percent, only_queries), "a long, b long")
+    return in_batches(parts.select("g1", "g2", "g3", "query", "node", "grams"), _confirm(percent, only_queries), "a long, b long")
 
 
 def _candidates(reps: DataFrame, m: int) -> DataFrame:
     """Edges (a, b) from the smallest document of each table key to the others that share the key."""
     parts = reps.select("node", F.posexplode("u").alias("i", "u"))
-    shared = parts.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    some = parts.join(shared, ["i", "u"], "left_semi")
+    shared = parts.groupBy("i", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    some = staged(joined_by_key(parts, shared, ["i", "u"], reps.count() * m), "near-parts")
     pairs = some.join(reps.select("node", "v"), "node").select("node", "i", "u", F.posexplode("v").alias("j", "v"))
     keys = pairs.select("node", F.xxhash64("i", "j", "u", "v").alias("key"))
-    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return keys.join(least, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    return _stars(keys, ["key"], some.count() * m)
+
+
+def _stars(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Edges (a, b) from the smallest node of each key to its others."""
+    least = rows.groupBy(*keys).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return joined_by_key(rows, least, keys, total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _weighed(cluster: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, component) -> (node, g1, bytes): with the bytes of all sets of the component."""
+    own = cluster.join(sizes, "node")
+    total = own.groupBy("component").agg((8 * F.sum("n_shingles")).alias("bytes"), F.count(F.lit(1)).alias("c"))
+    return joined_by_key(cluster, total, ["component"], cluster.count()).select("node", F.col("component").alias("g1"), "bytes")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
@@ -222,58 +253,117 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     spark = docs.sparkSession
     m = parts_for(percent / 100, part)
     sig = staged(signatures(docs, size, m, part, text), "near-signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("u").alias("u"), F.first("v").alias("v"))
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "u", "v")])
     reps = staged(classes, "near-classes")
     edges = staged(_candidates(reps, m), "near-candidates")
     cluster = staged(components(edges, "near-clusters"), "near-clusters")
-    # Whole sets, only of documents in a cluster: a fixed-size filter goes to the scan, the join is exact.
-    wanted = spark.sparkContext.broadcast(bloom(cluster, "node"))
+    discard(edges)
+    # Whole sets, only of documents in a cluster: a filter sized by their number goes to the scan, the join is exact.
+    n = cluster.count()
     probe = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    sets = probe.select("doc_id", "text", *_probes("doc_id")).mapInArrow(_full_sets(size, wanted), "node long, grams binary").where("length(grams) > 0")
-    sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    members = cluster.join(sizes, "component").join(sets, "node").select(F.col("component").alias("g1"), "node", "members", "grams")
-    members = staged(members, "near-members").withColumn("query", F.lit(False))
+    if BITS_EACH * n <= MAX_BITS:
+        bits = filter_bits(n)
+        wanted = spark.sparkContext.broadcast(bloom(cluster, "node", bits))
+        probe = probe.select("doc_id", "text", *_probes("doc_id", bits))
+    else:
+        wanted, probe = None, probe.join(cluster.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = in_batches(probe, _full_sets(size, wanted), "node long, grams binary").where("length(grams) > 0")
+    sizes = reps.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    members = staged(_weighed(cluster, sizes).join(sets, "node").select("g1", "node", "bytes", "grams"), "near-members")
+    large = members.where(f"bytes > {CHUNK_BYTES}")
+    groups = members.where(f"bytes <= {CHUNK_BYTES}")
+    found = None
+    if not large.isEmpty():
+        finer = staged(components(_sharing_rare_shingles(large, percent), "near-finer"), "near-finer")
+        cut = staged(large.drop("g1", "bytes").join(_weighed(finer, sizes), "node").select("g1", "node", "bytes", "grams"), "near-cut")
+        groups = groups.unionByName(cut.where(f"bytes <= {CHUNK_BYTES}"))
+        if not (still := cut.where(f"bytes > {CHUNK_BYTES}")).isEmpty():
+            found = _large_clusters(still, percent)
     zero = F.lit(0).cast("long")
-    found = _links(members.where(f"members <= {CHUNK}").withColumns({"g2": zero, "g3": zero}), percent, only_queries=False)
-    if sizes.where(f"members > {CHUNK}").limit(1).count():
-        found = found.unionByName(_large_clusters(members.where(f"members > {CHUNK}"), percent))
-    joined = components(found, "near-components")
+    links = _links(groups.withColumns({"g2": zero, "g3": zero, "query": F.lit(False)}), percent, only_queries=False)
+    joined = components(links if found is None else links.unionByName(found), "near-components")
     comp = reps.join(joined, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    out = sig.join(comp, ["k1", "k2"], "left")
+    out = sig.drop("u", "v").join(comp, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _bucket_counts(batches):
+    count = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for grams in _sets_of(batch.column(0)):
+            np.add.at(count, (grams & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["bucket", "n"])
+
+
+def _prefixes(often, percent: int):
+    """(g1, s, node): of each set the rarest shingles, one more than two linked sets can differ by."""
+
+    def run(batches):
+        for batch in batches:
+            groups, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = []
+            for grams in _sets_of(batch.column(2)):
+                keep = len(grams) - -(-percent * len(grams) // 100) + 1
+                rare = np.lexsort((grams, often.value[(grams & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:keep]
+                found.append(grams[rare])
+            times = [len(x) for x in found]
+            s = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(groups, times)), pa.array(s.view(np.int64)), pa.array(np.repeat(nodes, times))], ["g1", "s", "node"])
+
+    return run
+
+
+def _sharing_rare_shingles(large: DataFrame, percent: int) -> DataFrame:
+    """Edges between documents of a cluster that share one of their rarest shingles.
+
+    Sets with 100 * intersection >= percent * union share at least percent of either one, so whatever order the
+    shingles are put in, one shared shingle is among the first of both. Here the rare ones come first; how often
+    a shingle stands is counted in BUCKETS buckets, which changes the order only. No link is lost.
+    """
+    counted = in_batches(large.select("grams"), _bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    often = np.zeros(BUCKETS, np.int64)
+    often[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    shared = large.sparkSession.sparkContext.broadcast(often)
+    rare = staged(in_batches(large.select("g1", "node", "grams"), _prefixes(shared, percent), "g1 long, s long, node long"), "near-rare")
+    return _stars(rare, ["g1", "s"], rare.count())
+
+
 def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     """Links within clusters that are too large for one task.
 
     First a few leaders are compared with every member, chunk by chunk. Then every member outside its
     cluster's largest component is compared with every member: no link between components is missed.
     """
-    deal = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("members") / CHUNK)).cast("long")
+    parts = F.ceil(F.col("bytes") / CHUNK_BYTES).cast("long")
     zero = F.lit(0).cast("long")
-    dealt = members.withColumns({"g2": deal, "g3": zero})
-    every = lambda n: F.explode(F.sequence(zero, F.ceil(F.col(n) / CHUNK).cast("long") - 1))
-    # The leaders: bounded by LEADERS a cluster, through a partial aggregate.
-    lead = members.groupBy("g1").agg(F.expr(f"slice(array_sort(collect_set(if(pmod(xxhash64(node, 9), greatest(1, members div {4 * LEADERS})) = 0, struct(xxhash64(node, 11) as h, node as node), null))), 1, {LEADERS})").alias("l"))
-    lead = lead.select("g1", F.explode("l.node").alias("node"))
-    query = members.join(lead, ["g1", "node"], "left_semi").withColumns({"query": F.lit(True), "g3": zero}).withColumn("g2", every("members"))
+    dealt = members.withColumns({"g2": F.pmod(F.xxhash64("node", F.lit(5)), parts), "g3": zero, "query": F.lit(False)})
+    every = F.explode(F.sequence(zero, parts - 1))
     columns = ["g1", "g2", "g3", "query", "node", "grams"]
+    # The leaders: bounded by LEADERS a cluster, through partial aggregates of so many each.
+    lead = members.groupBy("g1", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(LEADERS)).alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(11))).alias("node"))
+    query = members.join(lead.select("g1", "node"), ["g1", "node"], "left_semi").withColumns({"query": F.lit(True), "g3": zero}).withColumn("g2", every)
     first = staged(_links(dealt.select(columns).unionByName(query.select(columns)), percent, only_queries=True), "near-leaders")
-    joined = components(first, "near-leaders")
-    at = members.select("g1", "node").distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = staged(components(first, "near-leaders"), "near-leaders")
+    at = members.select("g1", "node", "bytes", (F.length("grams") / 1).alias("own")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     weight = at.groupBy("g1", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = weight.groupBy("g1").agg(F.max(F.struct("c", "component")).alias("x")).select("g1", F.col("x.component").alias("component"))
-    rest = staged(at.join(largest, ["g1", "component"], "left_anti").select("g1", "node"), "near-rest")
-    blocks = rest.groupBy("g1").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("long").alias("blocks"))
-    asked = members.join(rest, ["g1", "node"], "left_semi").join(blocks, "g1")
-    asked = asked.withColumns({"query": F.lit(True), "g3": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))}).withColumn("g2", every("members"))
-    against = dealt.drop("g3").join(blocks, "g1").withColumn("g3", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    largest = weight.groupBy("g1").agg(F.max(F.struct("c", "component")).alias("x")).select(F.col("x.component").alias("component"))
+    # A component lies in one cluster, so its own id tells both; the clusters are few, each over CHUNK_BYTES.
+    rest = staged(at.join(largest, "component", "left_anti").select("g1", "node", "own"), "near-rest")
+    blocks = rest.groupBy("g1").agg(F.ceil(F.sum("own") / CHUNK_BYTES).cast("long").alias("blocks"), F.count(F.lit(1)).alias("c"))
+    asked = members.join(joined_by_key(rest.drop("own"), blocks, ["g1"], rest.count()), ["g1", "node"])
+    asked = asked.withColumns({"query": F.lit(True), "g3": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))}).withColumn("g2", every)
+    counts = members.groupBy("g1").agg(F.count(F.lit(1)).alias("c"))
+    against = joined_by_key(dealt.drop("g3"), counts.join(blocks.drop("c"), "g1"), ["g1"], members.count()).withColumn("g3", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     second = _links(against.select(columns).unionByName(asked.select(columns)), percent, only_queries=True)
     return first.unionByName(second)
 
 
 def near_dedup(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs, text, size, percent).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows without doc_id, text or words stay; rows that share the kept id all stay. All columns pass through.
+    """
+    gone = near_duplicates(docs, text, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, small, staged
-from .near_dedup import BLOOM_BITS
+from .common import Words, chunks, in_batches, small, staged
+from .near_dedup import filter_bits, has_bits
 
 KINDS = ("email", "ip", "card", "phone")
 #: Contexts in which a term must meet an entity; all of them where the entity has fewer.
@@ -143,31 +143,36 @@ def _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
+def _at_bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.uint64(bits)
+    return (h % n).astype(np.int64), ((h >> np.uint64(32)) % n).astype(np.int64)
+
+
 def _hits(raw: list[bytes], bits: np.ndarray):
     """Occurrences of words that a bit set may hold: (text number, word, first byte)."""
     words = Words([r.translate(_PLAIN).lower() for r in raw])
     begin = np.cumsum([0] + [len(r) + 1 for r in raw])
-    n = np.uint64(BLOOM_BITS)
-    hit = np.flatnonzero(bits[(words.h % n).astype(np.int64)] & bits[((words.h >> np.uint64(32)) % n).astype(np.int64)])
-    for k in hit:
+    one, two = _at_bits(words.h, 8 * len(bits))
+    for k in np.flatnonzero(has_bits(bits, one) & has_bits(bits, two)):
         a, size, doc = int(words.starts[k]), int(words.lens[k]), int(words.doc[k])
         yield doc, words.data[a : a + size].tobytes(), a - int(begin[doc])
 
 
 def _term_bits(terms: DataFrame) -> np.ndarray:
-    """A bit set of fixed size over the terms, by the hash that ``_hits`` uses."""
+    """A bit set over the terms, by the hash that ``_hits`` uses. Its size follows their number up to a bound;
+    beyond that it lets more words through, and the join that follows does more of the work."""
+    bits = filter_bits(terms.count())
 
     def probes(batches):
         for batch in batches:
             h = Words([t.encode() for t in batch.column(0).to_pylist()]).h
-            n = np.uint64(BLOOM_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h % n, (h >> np.uint64(32)) % n]).astype(np.int64))], ["p"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_at_bits(h, bits)))], ["p"])
 
-    at = terms.select("term").mapInArrow(probes, "p long")
-    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toPandas()  # at most BLOOM_BITS / 64 rows
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    at = in_batches(terms.select("term"), probes, "p long")
+    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toPandas()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
 
 
 def _document_counts(bits):
@@ -195,7 +200,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", min_contexts: int = MI
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    near = staged(rows.mapInArrow(_contexts, "entity string, term string, context long, first long"), "pii-contexts")
+    near = staged(in_batches(rows, _contexts, "entity string, term string, context long, first long"), "pii-contexts")
     total = docs.count()
     pairs = near.where("entity != ''").groupBy("entity", "term").agg(F.sum("first").alias("docs"), F.count_distinct("context").alias("contexts"))
     pairs = staged(pairs.withColumn("both", F.least("docs", "contexts")), "pii-pairs")
@@ -208,7 +213,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", min_contexts: int = MI
     some = pairs.where("term != ''").join(known, "entity").where(F.col("contexts") >= F.least(F.lit(min_contexts), F.col("n_contexts")))
     asked = staged(some.join(beside, "term").where(told >= share).drop("n_term"), "pii-candidates")
     bits = spark.sparkContext.broadcast(_term_bits(asked.select("term").distinct()))
-    held = rows.mapInArrow(_document_counts(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    held = in_batches(rows, _document_counts(bits), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     found = asked.join(held, "term").withColumn("share", told)
     return found.where(F.col("share") >= share).groupBy("term").agg(F.max("share").alias("share"), F.max_by("entity", F.struct("share", "entity")).alias("entity"))
 
@@ -221,9 +226,11 @@ def _found(bits):
             if bits.value.any():
                 for a, b in chunks(texts):
                     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[a:b]]
+                    starts: dict[int, np.ndarray] = {}
                     for d, w, at in _hits(raw, bits.value):
-                        start = len(raw[d][:at].decode("utf-8", "replace"))
-                        maybe[a + d].append({"term": w.decode("utf-8", "replace"), "start": start, "end": start + len(w.decode("utf-8", "replace"))})
+                        if d not in starts:  # how many code points begin before each byte
+                            starts[d] = np.concatenate(([0], np.cumsum(np.frombuffer(raw[d], np.uint8) & 0xC0 != 0x80)))
+                        maybe[a + d].append({"term": w.decode("utf-8", "replace"), "start": int(starts[d][at]), "end": int(starts[d][at + len(w)])})
             spans = [base_spans(t or "") for t in texts]
             counts = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
             joined = [_joined(x) for x in spans]
@@ -245,7 +252,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     terms = staged(disclosing_terms(docs, text, **how), "pii-terms")
     bits = spark.sparkContext.broadcast(_term_bits(terms))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = rows.mapInArrow(_found(bits), f"doc_id long, {BASE}, hits array<struct<term: string, start: long, end: long>>")
+    found = in_batches(rows, _found(bits), f"doc_id long, {BASE}, hits array<struct<term: string, start: long, end: long>>")
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
     columns = ["doc_id", *[f"n_{k}" for k in KINDS], "base_spans", "base_sha256"]
     plain = found.where(F.size("hits") == 0).select(*columns, F.lit("").alias("more"), F.lit(0).cast("long").alias("n_term"))
@@ -274,12 +281,18 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` with every span replaced (see ``redact``); null text stays null. Matched by doc_id, which must
-    be unique here; all columns pass through."""
-    spans = find_personal_data(docs, text, **how).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    """``docs`` with every span replaced (see ``redact``); null text stays null, all other columns pass through.
+
+    Rows are matched by doc_id and text together, so repeated and null ids do no harm.
+    """
+    key = F.xxhash64("doc_id", text)
+    spans = find_personal_data(docs.select(key.alias("doc_id"), F.col(text).alias("text")), **how)
+    spans = spans.groupBy(F.col("doc_id").alias("__key")).agg(F.first("spans").alias("__spans"))
 
     @F.pandas_udf("string")
     def masked(t: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else redact(x, y or "") for x, y in zip(t, s, strict=True)], dtype=object)
 
-    return docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__id")), "left").withColumn(text, masked(F.col(text), F.col("__spans"))).drop("__id", "__spans")
+    rows = docs.select(F.struct("*").alias("__row"), key.alias("__own"), F.col(text).cast("string").alias("__text"))
+    out = rows.join(spans, F.col("__own") == F.col("__key"), "left")
+    return out.select(*[masked(F.col("__text"), F.col("__spans")).alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])

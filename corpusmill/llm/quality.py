@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Words, chunks, mix64, small, staged
+from .common import Words, chunks, in_batches, mix64, small, staged
 
 #: metric -> (fence above, fence below, statistic it is a share of, size of one event in it). The sketches alone
 #: set the fences.
@@ -34,7 +35,7 @@ EVENTS = 3
 #: Ranks at which the language's sketch is read for its mean distance from the median.
 GRID = [(2 * i + 1) / 200 for i in range(100)]
 SKETCH_K = 400
-STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_shouts long, n_upper long"
+STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_upper"]
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -77,15 +78,13 @@ def _text_stats(batches):
         parts = [_stats(texts[a:b]) for a, b in chunks(texts)]
         if parts:
             own = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts, strict=True)]
-            names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_upper"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], *STATS])
 
 
-def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """One row of statistics per document, without its text. Null text: no words, no lines."""
+def text_stats(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id", "lang", "source")) -> DataFrame:
+    """The columns ``keep`` of each document and the statistics of its text. Null text: no words, no lines."""
     df = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
-    return df.mapInArrow(_text_stats, f"{schema}, {STATS}")
+    return in_batches(df, _text_stats, StructType([*df.schema.fields[:-1], *[StructField(c, LongType()) for c in STATS]]))
 
 
 def _metrics(df: DataFrame) -> DataFrame:
@@ -132,15 +131,14 @@ def learned_thresholds(stats: DataFrame, min_group: int = MIN_GROUP, reach: floa
     return rows.select(F.col("l").alias("lang_of"), F.col("s").alias("source_of"), *out)
 
 
-def quality_verdicts(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """Statistics, ``base_failed`` and ``kept`` for every document.
-
-    Null language or source is a group of its own. Null or empty text has no words and fails the base
-    rules. Repeated rows are judged row by row. An empty table gives an empty result. Further columns of
-    the input are ignored.
-    """
+def _limits(docs: DataFrame, text: str, **how) -> tuple[DataFrame, DataFrame]:
+    """The statistics of all documents, and the thresholds learned from them (a row a language and source)."""
     stats = staged(_metrics(text_stats(docs, text)), "quality-stats")
-    limits = learned_thresholds(stats, **how)
+    return stats, staged(learned_thresholds(stats, **how), "quality-limits")
+
+
+def _judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """``stats`` with ``kept``. The thresholds are a written table, so Spark knows if it may broadcast them."""
     fine = F.lit(True)
     for m, (upper, lower, whole, event) in FENCES.items():
         few = F.coalesce(F.try_divide(F.lit(EVENTS * event), F.col(whole)), F.lit(0.0))
@@ -153,10 +151,22 @@ def quality_verdicts(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & fine)
 
 
+def quality_verdicts(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """Statistics, ``base_failed`` and ``kept`` for every document.
+
+    Null language or source is a group of its own. Null or empty text has no words and fails the base
+    rules. Repeated rows and rows with a null doc_id are judged row by row. An empty table gives an empty
+    result. Further columns of the input are ignored.
+    """
+    return _judged(*_limits(docs, text, **how))
+
+
 def quality_filter(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` without the rejected ones, all columns as they were. Rows with a null doc_id are judged too.
+    """``docs`` without the rejected rows, all columns as they were, whatever their names.
 
-    Documents are matched by doc_id; where an id repeats, its rows stay if any of them passes.
+    Each row is judged by itself, repeated ones too: the statistics are taken once to learn the thresholds and
+    once more where the row stands, so no text is shuffled.
     """
-    kept = quality_verdicts(docs, text, **how).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    limits = _limits(docs, text, **how)[1]
+    rows = text_stats(docs, text, keep=(F.struct("*").alias("__row"), "lang", "source"))
+    return _judged(_metrics(rows), limits).where("kept").select("__row.*")

@@ -41,7 +41,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.encode(_read(spark, sf_dir, "documents")))
+    return bpe.encoded_digest(_read(spark, sf_dir, "documents"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,23 +70,24 @@ WITH l AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
 ), t AS (
   SELECT doc_id, source, pos, raw, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l
-), spread AS (
+), wide AS (
   SELECT line FROM t WHERE line <> '' GROUP BY line
   HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {MIN_SITES}
+), unlike AS (
+  SELECT doc_id FROM t LEFT JOIN wide ON t.line = wide.line GROUP BY doc_id
+  HAVING coalesce(sum(length(t.line)) FILTER (WHERE wide.line IS NOT NULL), 0) < {COPY_SHARE} * sum(length(t.line))
+), spread AS (
+  SELECT line FROM t JOIN wide USING (line) WHERE doc_id IN (SELECT doc_id FROM unlike) GROUP BY line
+  HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {MIN_SITES}
 ), m AS (
   SELECT t.*, spread.line IS NOT NULL AS hit FROM t LEFT JOIN spread ON t.line = spread.line
 ), d AS (
-  SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE hit) AS hits,
-    coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS gone, sum(length(line)) AS whole,
-    string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit) AS rest FROM m GROUP BY doc_id
-), r AS (
-  SELECT documents.doc_id, coalesce(d.n_lines, 0) AS n_lines,
-    CASE WHEN d.hits > 0 AND d.gone < {COPY_SHARE} * d.whole THEN d.hits ELSE 0 END AS n_removed,
-    coalesce(CASE WHEN d.hits > 0 AND d.gone < {COPY_SHARE} * d.whole THEN coalesce(d.rest, '') ELSE text END, '') AS text
-  FROM documents LEFT JOIN d USING (doc_id)
+  SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE hit) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS text FROM m GROUP BY doc_id
 )
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed,
-  CAST(length(text) AS BIGINT) AS n_left_chars, sha256(text) AS left_sha256 FROM r
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CAST(length(coalesce(d.text, '')) AS BIGINT) AS n_left_chars, sha256(coalesce(d.text, '')) AS left_sha256
+FROM documents LEFT JOIN d USING (doc_id)
 """
 
 _TAILS = "|".join(c[1:].replace("|", "\\|").replace("[", "\\[").replace("]", "\\]") for c in CONTROL)

@@ -120,11 +120,10 @@ def _brute_components(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("size", "percent", "chunk"), [(3, 85, 1024), (5, 80, 1024), (3, 85, 4)])
+@pytest.mark.parametrize(("size", "percent", "chunk"), [(3, 85, 8 << 20), (5, 80, 8 << 20), (3, 85, 4000)])
 def test_near_duplicates(docs, rows, size, percent, chunk, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(near_dedup, "LEADERS", 2)
-    monkeypatch.setattr(near_dedup, "QUERIES", 3)
     want = _brute_components(rows, size, percent)
     got = by_id(near_dedup.near_duplicates(docs, size=size, percent=percent))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
@@ -146,13 +145,45 @@ def test_line_dedup(spark):
     out = {r.doc_id: r for r in drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[3].text == f"{mine.format(3)}\nrest 3"
     assert (out[3]["__lines"], out[3]["__removed"]) == (3, 1)
-    assert out[105].text == rows[24 + 5][1]  # a copy of a document is no boilerplate
+    assert out[105].text == "copied text of one document\nsecond line"  # a copied document's own lines are no boilerplate
     assert out[200].text is None and out[201].text == "" and out[202].text == "\n\n"
-    assert out[203].text == board
+    assert out[203].text == "" and out[203]["__removed"] == 1  # boilerplate goes from a page of nothing else too
     assert out[None].text == f"tail {mine}"
     assert out[305].text.endswith("few sites")  # nine sites are too few
 
 
+def test_line_dedup_leaves_copies(spark):
+    r = random.Random(9)
+    line = lambda k: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(8)) + str(k)
+    whole = [line(k) for k in range(10)]
+    rows = [(i, "\n".join([*whole[: i % 10], line(i), *whole[i % 10 + 1 :], "Legal notice of the network"]), f"s{i % 15}") for i in range(60)]  # near copies
+    rows += [(100 + i, "\n".join([line(i), line(-i), "Legal notice of the network"]), f"s{i % 15}") for i in range(30)]
+    rows += [(200 + i, "\n".join([line(i), "Legal notice of the network", "Legal notice of the network"]), f"s{i % 15}") for i in range(30)]
+    out = {x.doc_id: x for x in drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, _ in rows:
+        assert out[i].text == "\n".join(x for x in t.split("\n") if not x.startswith("Legal"))
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__row", "__id", "__h", "__text", "__gone", "__n", "kept", "n_words", "symbol_share", "size", "target", "h", "pos", "th", "spans"]
+    r = random.Random(3)
+    rows = [(i, " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(70)) + "\nby ann@mail.example.com", "en", f"s{i % 3}", 1, *[f"{c}{i}" for c in names[5:]]) for i in range(40)]
+    d = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names))
+    plain = {x.doc_id: x for x in d.collect()}
+    for out in (quality.quality_filter(d), near_dedup.near_dedup(d), mixing.mixed_documents(d), drop_spread_lines(d).drop("__lines", "__removed"), pii.sanitise(d)):
+        got = out.collect()
+        assert out.columns == names and got
+        assert all(x[c] == plain[x.doc_id][c] for x in got for c in names if c != "text")
+
+
+def test_quality_filter_judges_each_row(spark):
+    r = random.Random(4)
+    good = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(70)) for _ in range(60)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(3, "short", "en", "s"), (3, None, "en", "s"), (None, good[0], None, None), (None, "", None, None)]
+    got = Counter((x.doc_id, x.text) for x in quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect())
+    assert got == Counter((i, t) for i, t, *_ in rows if t and len(t) > 100)
+
+
 def test_mixing(docs, rows):
     got = by_id(mixing.mix(docs))
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
@@ -178,12 +209,36 @@ def test_mixing(docs, rows):
         assert math.isclose(r.target, want[s], rel_tol=1e-9)
         assert r.taken in (0, size[i], 2 * size[i])
         taken[s] += r.taken
-    for s in total:
-        assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 or total[s] > 5000  # one giant document decides there
+    for s in total:  # a document is taken whole, so the largest may be half of itself too much or too little
+        sizes = [size[i] for i, _, _, x, *_ in rows if x == s]
+        assert abs(taken[s] - want[s]) <= max(5, max(sizes) / 2)
     again = by_id(mixing.mix(docs.repartition(5)))
     assert {i: r.taken for i, r in got.items()} == {i: r.taken for i, r in again.items()}
 
 
+def test_mixing_null_and_large_ids(spark):
+    rows = [((1 << 53) + 2 * i + 1, "w " * (i % 7 + 3), "s") for i in range(60)] + [(None, "w w w", "s"), (None, None, "s"), (5, "a b c", None), (5, "a b c", None), (5, "a b c", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    assert sorted((r.doc_id or 0, r["size"], r.taken) for r in got) == sorted((r.doc_id or 0, r["size"], r.taken) for r in mixing.mix(d.repartition(7)).collect())
+
+
+def test_source_ranks_and_levels(spark):
+    names = ["", "B", "a", "ab", "\u00e9", "\u4e2d", "\U0001f642", None, *[f"z{k:03d}" for k in range(40)]]
+    rows = [(i, "w " * (1 + 37 * i % 101), x) for i, x in enumerate(names)]
+    got = {r.source: r for r in mixing.source_targets(spark.createDataFrame([(i, x, len(t.split())) for i, t, x in rows], "doc_id long, source string, size long")).collect()}
+    order = [*sorted((x for x in names if x is not None)), None]
+    assert [got[x].sid for x in order] == list(range(1, len(names) + 1))
+    size = {x: len(t.split()) for _, t, x in rows}
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(order)}
+    low, high = 0.0, 2.0 * max(size.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * size[x], mid * weight[x]) for x in names) < 1.5 * sum(size.values()) else (low, mid)
+    assert all(math.isclose(got[x].target, min(2 * size[x], low * weight[x]), rel_tol=1e-9) for x in names)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(3)
     size, p = rng.integers(0, 5000, 700).astype(float), np.full(700, 0.37)
@@ -239,8 +294,27 @@ def test_language_model(docs, rows):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in set(train), len(t), sum(one[x] > 0 for x in t), n)
         assert math.isclose(r.base_score, sum(math.log10((one[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel_tol=1e-9)
-    weights = lm.learned_weights(lm.counted(docs))
+    weights = lm.learned_weights(*lm.counted(docs))
     assert np.allclose(weights.sum(1), 1)
+    # The same by plain Python: every training token is held out in turn, and the rounds go on until they stand still.
+    events = {}
+    for i in train:
+        for a, b in zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True):
+            before = one[a] - 1
+            p = ((two[a, b] - 1) / before if before else 0.0, (one[b] - 1) / (n - 1), 1 / (v + 1))
+            events.setdefault(int(math.log2(before + 1)), []).append(p)
+    for b, ps in events.items():
+        w = [1 / 3] * 3
+        for _ in range(2000):
+            e = [0.0] * 3
+            for p in ps:
+                mixed = sum(x * y for x, y in zip(w, p, strict=True))
+                for k in range(3):
+                    e[k] += w[k] * p[k] / mixed
+            w = [x / len(ps) for x in e]
+        likely = lambda u: sum(math.log(sum(x * y for x, y in zip(u, p, strict=True))) for p in ps)  # noqa: B023, E731
+        assert likely(weights[b]) >= likely(w) - 1e-4 * len(ps)
+        assert np.abs(weights[b] - w).max() < 0.02
     for i in (rows[0][0], rows[20][0], rows[-1][0]):
         total = 0.0
         for a, b in zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True):
@@ -263,6 +337,46 @@ def test_fingerprints(docs, rows):
         assert (r.near_edited, r.near_next) == (fingerprints.likeness(own, changed), fingerprints.likeness(own, other))
 
 
+def test_fingerprints_null_and_repeated_ids(spark):
+    rows = [(None, "abc " * 30), (None, None), (7, "abc " * 30), (7, "abc " * 30), (7, ""), (9, "xyz " * 40)]
+    got = fingerprints.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    same = {r.fingerprint for r in got if r.n_chars == 120}
+    assert len(same) == 1 and {r.near_next for r in got if r.doc_id == 9} <= {0.0, 1.0}
+    alone = fingerprints.compared(spark.createDataFrame([(1, "one text of its own")], "doc_id long, text string")).first()
+    assert alone.near_next == 1.0 and alone.edited_sha256 == hashlib.sha256(b"one text of i" + b"one te").hexdigest()
+
+
+def _plain_order_minhash(text, hashes=64):
+    """Order MinHash as published: for each of several hashes the two smallest numbered k-mers, in text order."""
+    seen, grams = Counter(), []
+    for k in range(len(text) - fingerprints.K + 1):
+        g = text[k : k + fingerprints.K]
+        grams.append((g, seen[g]))
+        seen[g] += 1
+    out = []
+    for m in range(hashes):
+        value = [hashlib.blake2b(f"{m}|{c}|{g}".encode(), digest_size=8).digest() for g, c in grams]
+        at = sorted(sorted(range(len(grams)), key=lambda k: value[k])[:2])  # noqa: B023
+        out.append(tuple(grams[k] for k in at))
+    return out
+
+
+def test_fingerprints_estimate_what_plain_order_minhash_does():
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(150)) for _ in range(6)]
+    ours, plain = [], []
+    for t in texts:
+        words = t.split()
+        moved = words[40:80] + words[:40] + words[80:]
+        for other in (t, t.replace("a", "z", 8), " ".join(moved), " ".join(words[:100] + texts[0].split()[:50]), texts[-1]):
+            ours.append(fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(other)))
+            a, b = _plain_order_minhash(t), _plain_order_minhash(other)
+            plain.append(sum(x == y for x, y in zip(a, b, strict=True)) / len(a))
+    difference = np.array(ours) - np.array(plain)
+    assert abs(difference.mean()) < 0.04 and np.abs(difference).max() < 0.25  # of 64 draws each
+
+
 def test_fingerprint_bound_changes_nothing():
     r = random.Random(8)
     t = "".join(r.choices("abcdef ", k=9000)) * 2
@@ -326,6 +440,71 @@ def test_terms_disclose_rare_entities(spark):
     assert terms(61) == {"vintrel"}  # three lines of one document; sombat is on one of them
 
 
+def test_disclosed_spans_by_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choices("abcdefghijklm", k=r.randint(3, 7))) for _ in range(60)] + ["Grüße", "ñandú"]
+    texts = []
+    for i in range(80):
+        lines = [" ".join(r.choices(vocabulary, k=r.randint(3, 8))) for _ in range(3)]
+        if i % 4 == 0:
+            lines[1] += f" {r.choice(['joe', 'ann', 'kim'])}{i % 44}@mail.example.com rare{i}"
+        texts.append("é " * (i % 3) + "\n".join(lines))
+    got = by_id(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    words = lambda t: [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t) if len(m[0].encode()) >= 3 and not m[0].isdigit()]
+    fold = lambda w: "".join(c.lower() if c.isascii() else c for c in w)
+    holds, meets, contexts, spans = Counter(), {}, {}, {}
+    for i, t in enumerate(texts):
+        spans[i] = pii.base_spans(t)
+        holds.update({fold(w) for _, _, w in words(t)})
+        at = 0
+        for line in t.split("\n"):
+            inside = [(k, a, b) for k, a, b in spans[i] if at <= a < at + len(line)]
+            rest = line
+            for _, a, b in sorted(inside, reverse=True):
+                rest = rest[: a - at] + " " + rest[b - at :]
+            terms = tuple(fold(w) for _, _, w in words(rest))
+            for k, a, b in inside:
+                entity = f"{k}:{t[a:b].lower()}"
+                contexts.setdefault(entity, set()).add(terms)
+                for w in set(terms):
+                    meets.setdefault((entity, w), set()).add((i, terms))
+            at += len(line) + 1
+    documents = Counter(e for i, t in enumerate(texts) for e in {f"{k}:{t[a:b].lower()}" for k, a, b in spans[i]})
+    share = {}
+    for (entity, w), seen in meets.items():
+        different = {c for _, c in seen}
+        if len(different) < min(pii.MIN_CONTEXTS, len(contexts[entity])):
+            continue
+        both = min(len({i for i, _ in seen}), len(different))
+        told = 1 - -math.log2(min(1.0, both / (holds[w] + pii.SMOOTH))) / -math.log2(documents[entity] / len(texts))
+        share[w] = max(share.get(w, 0), told)
+    disclosed = {w for w, x in share.items() if x >= pii.GENERALISE}
+    assert disclosed
+    for i, t in enumerate(texts):
+        want = sorted((a, b) for a, b, w in words(t) if fold(w) in disclosed and not any(a < y and b > x for _, x, y in spans[i]))
+        found = sorted((int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x) if k in ("term", "gone"))
+        assert found == want and got[i].n_term == len(want)
+
+
+def test_odd_rows_everywhere(spark):
+    """Null and repeated ids, repeated rows, a very long text: a row in, a row out."""
+    long = " ".join(f"w{k % 977}" for k in range(120000))
+    rows = [(None, "null id here", None, None), (None, "null id here", None, None), (4, long, "en", "s"), (4, long, "en", "s"), (4, None, "en", "s"), (5, "plain text of five words", "en", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = Counter(i for i, *_ in rows)
+    for out in (quality.quality_verdicts(d), near_dedup.near_duplicates(d), drop_spread_lines(d), mixing.mix(d), pii.find_personal_data(d), fingerprints.compared(d)):
+        assert Counter(x.doc_id for x in out.select("doc_id").collect()) == want
+
+
+def test_odd_rows_through_the_exchanges(spark, tmp_path):
+    rows = [(None, "null id here"), (None, "null id here"), (4, "w v " * 60000), (4, None), (5, "plain text"), (5, "plain text")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    assert Counter((x.doc_id, x.n_tokens) for x in lm.score(d).select("doc_id", "n_tokens").collect()) == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+    back = Counter((x.doc_id, x.decoded_sha256) for x in bpe.encoded_digest(d).collect())
+    assert back == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
 def test_empty_tables(nothing):
-    for out in (quality.quality_verdicts(nothing), near_dedup.near_duplicates(nothing), drop_spread_lines(nothing), mixing.mix(nothing), bpe.digest(bpe.encode(nothing)), lm.score(nothing), fingerprints.compared(nothing), pii.find_personal_data(nothing)):
+    for out in (quality.quality_verdicts(nothing), near_dedup.near_duplicates(nothing), drop_spread_lines(nothing), mixing.mix(nothing), bpe.digest(bpe.encode(nothing)), bpe.encoded_digest(nothing), lm.score(nothing), fingerprints.compared(nothing), pii.find_personal_data(nothing)):
         assert out.count() == 0
