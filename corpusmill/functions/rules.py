@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import zip_longest
-from re import _constants as sre
-from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
+from .literals import required_literal
+from .once import once
 from .text import UNICODE, normalize_for_rules
 
 
@@ -54,43 +54,26 @@ AGREEMENT = Rulebook("agreement", _FUSED, v.PRIORITY_FUSION, v.CLASSES_FUSION)
 PROFILES = {b.name: b for b in (OVERRIDE, AGREEMENT, FUSION)}
 
 
-def required_literal(pattern: str) -> str:
-    """The longest text that every match contains; empty if none is certain."""
-    best = run = ""
-    for op, arg in parser.parse(pattern):
-        if op is sre.LITERAL:
-            run += chr(arg)
-            best = max(best, run, key=len)
-        elif op is not sre.AT:  # a boundary has no width
-            run = ""
-    return best
-
-
 def _quoted(x: str) -> str:
     return 'r"' + x + '"'  # raw: no pattern holds a double quote
 
 
-def _table(patterns: list[str]) -> Column:
-    """The patterns with their guards as one literal array: the plan stays small however many there are."""
-    return F.expr("array(" + ", ".join(f"named_struct('l', {_quoted(required_literal(p))}, 'p', {_quoted(p)}, 'r', {_quoted(UNICODE + p)})" for p in patterns) + ")")
+def _found(patterns: list[str]) -> str:
+    """Those of the patterns that match. Each is a constant, so it is compiled once and not for every row."""
+    guard = lambda p: f"contains(__text, {_quoted(x)}) and " if (x := required_literal(p)) else ""
+    return "filter(array(" + ", ".join(f"if({guard(p)}__text rlike {_quoted(UNICODE + p)}, {_quoted(p)}, null)" for p in patterns) + "), x -> x is not null)"
 
 
-def hits(text: Column, book: Rulebook) -> Column:
+def hits(text: str, book: Rulebook) -> Column:
     """array<struct<label, pos, score, priority, is_filter, patterns>> of the labels with a match, in rulebook
-    order. ``text`` must be normalized for rules."""
-    per_label = []
-    for pos, (label, patterns) in enumerate(book.patterns.items()):
-        found = F.filter(_table(patterns), lambda x: F.contains(text, x["l"]) & F.rlike(text, x["r"]))
-        about = F.struct(F.lit(label).alias("label"), F.lit(pos).alias("pos"), F.lit(book.priority[label]).alias("priority"), F.lit(label in v.FILTER_CLASSES).alias("is_filter"))
-        per_label.append(F.struct(about.alias("about"), F.transform(found, lambda x: x["p"]).alias("patterns")))
+    order. The column ``text`` must be normalized for rules."""
+    per_label = [
+        f"named_struct('label', '{label}', 'pos', {pos}, 'priority', {book.priority[label]}, 'is_filter', {str(label in v.FILTER_CLASSES).lower()}, 'patterns', {_found(patterns)})"
+        for pos, (label, patterns) in enumerate(book.patterns.items())
+    ]
     # The matches are found first and counted after, or each would be looked for twice.
-    some = F.filter(F.array(*per_label), lambda x: F.size(x["patterns"]) > 0)
-    return F.transform(
-        some,
-        lambda x: F.struct(
-            x["about"]["label"].alias("label"), x["about"]["pos"].alias("pos"), F.size(x["patterns"]).alias("score"), x["about"]["priority"].alias("priority"), x["about"]["is_filter"].alias("is_filter"), x["patterns"].alias("patterns")
-        ),
-    )
+    some = "filter(array(" + ", ".join(per_label) + "), h -> size(h.patterns) > 0)"
+    return F.expr(f"transform({some}, h -> named_struct('label', h.label, 'pos', h.pos, 'score', size(h.patterns), 'priority', h.priority, 'is_filter', h.is_filter, 'patterns', h.patterns))".replace("__text", f"`{text}`"))
 
 
 def _best(found: Column) -> Column:
@@ -99,15 +82,9 @@ def _best(found: Column) -> Column:
     return F.array_min(keyed)["hit"]
 
 
-def _once(df, name: str, value: Column):
-    """Adds a column that is computed once per row: a generator keeps Catalyst from copying the expression into
-    each place that uses it, and from pushing filters on it below."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_rule_hits(df, text: str, book: Rulebook, out: str = "rule_hits"):
-    normal = _once(df, "__t", normalize_for_rules(F.col(text)))
-    return _once(normal, out, hits(F.col("__t"), book)).drop("__t")
+    normal = once(df, "__t", normalize_for_rules(F.col(text)))
+    return once(normal, out, hits("__t", book)).drop("__t")
 
 
 def classify(df, text: str, book: Rulebook):
@@ -116,7 +93,7 @@ def classify(df, text: str, book: Rulebook):
     Null or empty text: ``unknown``, ``empty_text``. No hit: ``unknown``, ``no_rule_match``. A filter class
     wins over every imaging class; then a hybrid hit, then an angiography hit, then the best score.
     """
-    df = _once(_once(df, "__t", normalize_for_rules(F.col(text))), "__hits", hits(F.col("__t"), book))
+    df = once(once(df, "__t", normalize_for_rules(F.col(text))), "__hits", hits("__t", book))
     found = F.col("__hits")
     scored = F.transform(found, lambda x: x.withField("score", x["score"] + _bonus(x["label"], book)))
     filters = F.filter(found, lambda x: x["is_filter"])
@@ -125,7 +102,7 @@ def classify(df, text: str, book: Rulebook):
         F.when(F.size(filters) > 0, _best(filters)).when(F.size(named(v.HYBRID)) > 0, named(v.HYBRID)[0])
         .when(F.size(named(v.ANGIO)) > 0, named(v.ANGIO)[0]).when(F.size(found) > 0, _best(scored))
     )
-    df = _once(df, "__w", winner)
+    df = once(df, "__w", winner)
     w = F.col("__w")
     reason = (
         F.when(F.col("__t") == "", "empty_text").when(F.size("__hits") == 0, "no_rule_match")

@@ -67,9 +67,9 @@ def fused_models(a: Column, b: Column, wa: list[float], wb: list[float], alpha:
 
 
 def normalized(vec: Column) -> Column:
-    """Scores over their sum; as they are where the sum is 0."""
-    total = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(vec, lambda x: F.when(total == 0, x).otherwise(x / total))
+    """Scores over their sum, which is taken once; as they are where the sum is 0."""
+    share = lambda total: F.transform(vec, lambda x: F.when(total == 0, x).otherwise(x / total))
+    return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x, share)
 
 
 def fused(rule: Column, text: Column, image: Column, trash: Column) -> Column:

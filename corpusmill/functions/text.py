@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import required_literal
 from .vocabulary import ANIMAL_PATTERNS, BAD_BEFORE, OCR_PANELS, PANEL_PATTERNS
 
 #: Java flags under which its classes mean what Python's mean: Unicode classes, and "\n" alone ends a line.
@@ -38,25 +41,30 @@ def joined_text(first: Column, second: Column, *others: Column) -> Column:
     return F.when((a != "") & (b != ""), F.concat_ws(" ", a, b)).otherwise(first_text(first, second, *others))
 
 
-def any_of(patterns: list[str]) -> str:
-    return IGNORE_CASE + "|".join(patterns)
+def matches_any(c: Column, patterns: list[str]) -> Column:
+    """Whether any of the patterns matches, whatever the case; null is no match. A pattern is tried only where the
+    letters that its matches must hold stand in the text."""
+    # As the patterns see them, these are i, i and s; lower() knows all other letters.
+    plain = F.translate(F.lower(F.translate(c, "\u0130", "i")), "\u0131\u017f", "is")
+    guarded = lambda x, p: F.contains(x, F.lit(required_literal(p).lower())) & c.rlike(IGNORE_CASE + p)
+    return F.coalesce(F.exists(F.array(plain), lambda x: reduce(lambda a, b: a | b, [guarded(x, p) for p in dict.fromkeys(patterns)])), F.lit(False))
 
 
 def has_animal(c: Column) -> Column:
-    return F.coalesce(c.rlike(any_of(ANIMAL_PATTERNS)), F.lit(False))
+    return matches_any(c, ANIMAL_PATTERNS)
 
 
 def first_animal(c: Column) -> Column:
     """The first match as it stands in the text; null if there is none."""
-    return F.nullif(F.regexp_extract(c, f"{IGNORE_CASE}({'|'.join(ANIMAL_PATTERNS)})", 1), F.lit(""))
+    return F.when(has_animal(c), F.nullif(F.regexp_extract(c, f"{IGNORE_CASE}({'|'.join(ANIMAL_PATTERNS)})", 1), F.lit("")))
 
 
 def has_panels(c: Column) -> Column:
-    return F.coalesce(c.rlike(any_of(PANEL_PATTERNS)), F.lit(False))
+    return matches_any(c, PANEL_PATTERNS)
 
 
 def first_panel(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, f"{IGNORE_CASE}({'|'.join(PANEL_PATTERNS)})", 1), F.lit(""))
+    return F.when(has_panels(c), F.nullif(F.regexp_extract(c, f"{IGNORE_CASE}({'|'.join(PANEL_PATTERNS)})", 1), F.lit("")))
 
 
 def has_real_panels(c: Column) -> Column:

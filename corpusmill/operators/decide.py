@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as s
 from ..functions import vocabulary as v
+from ..functions.once import once
 
 
 def _ladder(*steps: tuple[Column, str]) -> Column:
@@ -80,13 +81,14 @@ def decide_fusion(df: DataFrame) -> DataFrame:
 def final_fusion(df: DataFrame, classes: list[str] = v.CLASSES_FUSION) -> DataFrame:
     """Fuses rule_scores, bert_scores and cnn_scores of the rows that aren't filtered; adds final_scores,
     final_label, final_conf, final_margin, top2_label, top2_score and the filter of a trash score that beats them."""
-    vec = s.normalized(s.fused(F.col("rule_scores"), F.col("bert_scores"), F.col("cnn_scores"), F.col("trash_conf")))
-    df = df.where("not is_filtered").withColumn("final_scores", vec)
-    two = s.ranked(F.col("final_scores"), classes)[1]
+    votes = s.fused(F.col("rule_scores"), F.col("bert_scores"), F.col("cnn_scores"), F.col("trash_conf"))
+    df = once(df.where("not is_filtered"), "__votes", votes)
+    df = once(once(df, "final_scores", s.normalized(F.col("__votes"))), "__two", s.top_k(F.col("final_scores"), classes, 2))
+    first, second = F.get("__two", F.lit(0)), F.get("__two", F.lit(1))
     df = df.withColumns({
-        "final_label": s.top_label(F.col("final_scores"), classes), "final_conf": s.confidence(F.col("final_scores")), "final_margin": s.margin(F.col("final_scores")),
-        "top2_label": two["label"], "top2_score": two["score"],
-    })
+        "final_label": F.coalesce(first["label"], F.lit("none")), "final_conf": F.coalesce(first["score"], F.lit(0.0)),
+        "final_margin": F.coalesce(first["score"], F.lit(0.0)) - F.coalesce(second["score"], F.lit(0.0)), "top2_label": second["label"], "top2_score": second["score"],
+    }).drop("__votes", "__two")
     return _finished(df, _ladder((F.col("trash_conf") > F.array_max("final_scores") + 0.01, "cnn3stronger_than_any_cnn")))
 
 

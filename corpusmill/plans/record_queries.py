@@ -136,9 +136,9 @@ def balance_checksum(spark, sf_dir):
     return balance.class_counts(records(spark, sf_dir), "rule_pred", C, 111).select("label", "n", "balanced", "full")
 
 
-@query(f"""WITH {RECORDS}, c(label) AS (VALUES {", ".join(f"({_quoted(x)})" for x in C)}) SELECT label FROM c WHERE label NOT IN (SELECT rule_pred FROM records WHERE row_id < 700 GROUP BY rule_pred HAVING count(*) >= 78) OR label = 'us'""")
+@query(f"""WITH {RECORDS}, c(label) AS (VALUES {", ".join(f"({_quoted(x)})" for x in C)}) SELECT label FROM c WHERE label NOT IN (SELECT rule_pred FROM records GROUP BY rule_pred HAVING count(*) >= 112) OR label = 'us'""")
 def missing_classes(spark, sf_dir):
-    return balance.class_counts(records(spark, sf_dir).where("row_id < 700"), "rule_pred", C, 78).where("not full or label = 'us'").select("label")
+    return balance.class_counts(records(spark, sf_dir), "rule_pred", C, 112).where("not full or label = 'us'").select("label")
 
 
 @query(f"WITH {RECORDS} SELECT count(*) = 7 AS all_full FROM (SELECT rule_pred FROM records WHERE rule_pred IN ({_IN7}) GROUP BY rule_pred HAVING count(*) >= 50)")
