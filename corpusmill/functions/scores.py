@@ -84,8 +84,9 @@ def one_hot(label: Column, classes: list[str]) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; 0 where one of them has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
 def adaptive_threshold(start: float, least: float, round_number, decay: float):
@@ -101,3 +102,10 @@ def parsed_llm_label(answer: Column, classes: list[str]) -> Column:
     for c in reversed(classes):
         label = F.when(said.contains(c.lower()), F.lit(c)).otherwise(label)
     return F.struct(F.coalesce(label, F.lit("unknown")).alias("label"), F.when(label.isNotNull(), 0.7).otherwise(0.0).alias("conf"))
+
+
+def linear_head(vec: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """Class probabilities of a linear layer over a vector; weights by class."""
+    dot = lambda row: F.aggregate(F.zip_with(vec, F.array(*map(F.lit, row)), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, t: s + t)
+    logits = F.array(*[dot(row) + F.lit(b) for row, b in zip(weights, bias, strict=True)])
+    return F.aggregate(F.array(logits), F.array().cast("array<double>"), lambda _, z: F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: normalized(e))

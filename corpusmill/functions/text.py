@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .literals import required_literal
-from .vocabulary import ANIMAL_PATTERNS, BAD_BEFORE, OCR_PANELS, PANEL_PATTERNS
+from .vocabulary import ANIMAL_PATTERNS, BAD_BEFORE, OCR_PANELS, OCR_PANELS_EARLY, PANEL_PATTERNS
 
 #: Java flags under which its classes mean what Python's mean: Unicode classes, and "\n" alone ends a line.
 UNICODE = "(?Ud)"
@@ -95,6 +95,12 @@ def ocr_panels(ocr: Column) -> Column:
     return F.array_distinct(F.filter(tokens, lambda t: t.isin(OCR_PANELS)))
 
 
+def ocr_word_panels(ocr: Column, names: list[str] = OCR_PANELS_EARLY) -> Column:
+    """The looser form: words of an OCR text that are panel names once all but letters and digits is taken away."""
+    words = F.split(F.regexp_replace(F.coalesce(ocr, F.lit("")), rf"{UNICODE}\s+", " "), " ")
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.upper(F.regexp_replace(w, "[^A-Za-z0-9]", ""))), lambda t: t.isin(names)))
+
+
 def chosen_panels(prefix: Column, sections: Column, found: Column) -> Column:
     """For every found panel that has a section: the prefix and the section. ``sections``: array<struct<panel,text>>."""
     by_name = F.map_from_entries(sections)

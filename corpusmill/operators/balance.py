@@ -30,6 +30,29 @@ def top_per_class(df: DataFrame, label: str, order: list[Column], k: int, rank:
     return few.withColumn(rank, F.row_number().over(Window.partitionBy(label).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
 
 
+def early_sample(df: DataFrame, label: str, order: list[Column], k: int, classes: list[str], candidate: Column, limit: int | None = None, presample: int | None = None) -> DataFrame:
+    """A balanced first sample, as a scan in the given order would take it: candidates of the wanted classes, ``k`` of each.
+
+    ``limit``: the scan sees only so many rows. ``presample``: it ends with the first row that it keeps once it has seen so
+    many. Both are found by ordered limits of that size; no task ranks all rows. The order must be unique.
+    """
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    rows = df.withColumn("__o", key)
+    if limit is not None:
+        rows = rows.orderBy("__o").limit(limit)
+    kept = top_per_class(rows.where(candidate & F.col(label).isin(classes)), label, [F.col("__o")], k)
+    if presample is not None:
+        at = rows.select("__o").orderBy("__o").limit(presample).agg(F.max("__o").alias("at"), F.count(F.lit(1)).alias("n"))
+        last = kept.join(at, (F.col("n") >= presample) & (F.col("__o") >= F.col("at"))).agg(F.min("__o").alias("last"))  # one row beside each
+        kept = kept.join(last).where(F.col("last").isNull() | (F.col("__o") <= F.col("last"))).drop("last")
+    return kept.drop("__o")
+
+
+def new_chunk(df: DataFrame, used: DataFrame, size: int, key: tuple[str, str] = ("pmc_id", "row_id")) -> DataFrame:
+    """The first ``size`` unused rows in hash order."""
+    return unused(df, used, list(key)).orderBy(stable_hash(*map(F.col, key)), key[1]).limit(size)
+
+
 def local_balance(accepted: DataFrame, pool: DataFrame, k: int, classes: list[str], new: DataFrame | None = None) -> DataFrame:
     """Accepted rows first, then ``new`` ones, then the pool, each in hash order, ``k`` of each class; a key that
     stands in several of them, or twice in one, counts once."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -72,25 +71,40 @@ def random_weights(classes: int, channels: list[int], hidden: int, seed: int = 0
     return out
 
 
-def score_images(df: DataFrame, columns: list[str], decode: Callable[[bytes], np.ndarray], weights: dict, pools: list[bool], out: str = "scores", flatten: bool = False, side: int = SIDE) -> DataFrame:
-    """Adds the class probabilities of each row's first decodable image; an empty array if it has none.
+def score_images(df: DataFrame, columns: list[str], decode: Callable[[bytes], np.ndarray], weights: dict, pools: list[bool], out: str = "scores", flatten: bool = False, side: int = SIDE, error: str | None = None) -> DataFrame:
+    """Adds the class probabilities of each row's first decodable image; an empty array if it has none or the network
+    fails on it. ``error`` names a column for what went wrong (null where nothing did), to be counted as a reason.
 
-    The weights are broadcast once; a batch goes through the network together.
+    The weights are broadcast once; a batch goes through the network together, one by one where that fails.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("array<double>")
-    def run(*images: pd.Series) -> pd.Series:
+    def scored(images: list[np.ndarray]) -> list:
+        return forward(np.stack([to_tensor(x, side) for x in images]), shared.value, pools, flatten).tolist()
+
+    @F.pandas_udf("scores array<double>, error string")
+    def run(*images: pd.Series) -> pd.DataFrame:
         found = [decode_first(list(row), decode) for row in zip(*images, strict=True)]
         at = [i for i, x in enumerate(found) if x is not None]
-        result: list = [[] for _ in found]
+        result, errors = [[] for _ in found], [None] * len(found)
         for a in range(0, len(at), 32):
-            p = forward(np.stack([to_tensor(found[i], side) for i in at[a : a + 32]]), shared.value, pools, flatten)
-            for i, row in zip(at[a : a + 32], p, strict=True):
-                result[i] = row.tolist()
-        return pd.Series(result)
-
-    return df.withColumn(out, run(*[F.col(c) for c in columns]))
+            part = at[a : a + 32]
+            try:
+                rows = scored([found[i] for i in part])
+            except Exception:  # noqa: BLE001  an image of an odd shape; the others still count
+                rows = []
+                for i in part:
+                    try:
+                        rows += scored([found[i]])
+                    except Exception as e:  # noqa: BLE001
+                        rows.append([])
+                        errors[i] = type(e).__name__
+            for i, row in zip(part, rows, strict=True):
+                result[i] = row
+        return pd.DataFrame({"scores": result, "error": errors})
+
+    df = df.withColumn("__s", run(*[F.col(c) for c in columns])).withColumn(out, F.col("__s.scores"))
+    return (df.withColumn(error, F.col("__s.error")) if error else df).drop("__s")
 
 
 def image_name(label, pmc_id, row_id):
@@ -99,22 +113,28 @@ def image_name(label, pmc_id, row_id):
 
 def export_images(df: DataFrame, image: str, folder: str) -> int:
     """Writes each image to ``folder/<final_label or rule_pred>/<pmc_id>_<row_id>.jpg`` from the executors;
-    rows without an image are skipped. Returns the number written. ``folder`` must be shared by all."""
+    rows without an image are skipped. Returns the number written. ``folder`` (a path or URI) must be shared by all."""
     named = df.where(F.col(image).isNotNull()).select(F.coalesce("final_label", "rule_pred").alias("l"), "pmc_id", "row_id", F.col(image).alias("i"))
 
     def write(batches):
-        from pathlib import Path
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(folder)
         for pdf in batches:
             for label, pmc, row, raw in pdf.itertuples(index=False):
-                path = Path(re.sub(r"^file://", "", folder)) / str(label) / f"{pmc}_{row}.jpg"
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(raw)
+                system.create_dir(f"{base}/{label}", recursive=True)
+                with system.open_output_stream(f"{base}/{label}/{pmc}_{row}.jpg") as f:
+                    f.write(raw)
             yield pd.DataFrame({"n": [len(pdf)]})
 
     return int(named.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
+def image_files(spark, folder: str) -> DataFrame:
+    """The paths of all files below a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+
+
 def file_index(paths: DataFrame, path: str = "path") -> DataFrame:
     """(name, path) of image files; of files with one name the last path in order stands."""
     found = paths.where(F.lower(F.col(path)).rlike(r"\.(jpg|jpeg|png)$")).withColumn("name", F.regexp_extract(path, r"([^/]+)$", 1))

@@ -39,6 +39,8 @@ FUSION = RefillConfig(per_class=1000, chunk=25000, micro_round_failures=400, use
 def _checkpoint_dir(spark) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-refill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,6 +72,7 @@ def refill(rows: DataFrame, accepted: DataFrame, score: Callable[[DataFrame, flo
     columns = ["pmc_id", "row_id", "final_label", "final_conf", "final_margin"]
     state = kept(accepted.select(columns), "start")
     pool = state.limit(0)
+    # Chunks don't overlap, so the rows of the start are all that a chunk may hold and must not use again.
     used = state.select("pmc_id", "row_id")
     span = rows.agg(F.min("row_id").alias("a"), F.max("row_id").alias("b")).first()
     at, failures, idle, threshold = span["a"], 0, 0, config.cnn_thresh
@@ -94,7 +97,6 @@ def refill(rows: DataFrame, accepted: DataFrame, score: Callable[[DataFrame, flo
         chosen = balance.local_balance(state, pool, config.per_class, classes, new=good).select(columns)
         state = kept(chosen, f"state-{n:03d}")
         pool = kept(pool, f"pool-{n:03d}")
-        used = kept(used.unionByName(fresh.select("pmc_id", "row_id")), f"used-{n:03d}")
         if round_path:
             state.write.mode("overwrite").parquet(f"{round_path}/round={n:03d}")
         idle = 0 if state.count() > before else idle + 1

@@ -25,6 +25,11 @@ def head_distribution(df: DataFrame, column: str, first: int) -> DataFrame:
     return value_counts(df.where(F.col("row_id") < first).withColumn(column, F.coalesce(column, F.lit("MISSING"))), column)
 
 
+def top_values(df: DataFrame, column: str, first: int) -> DataFrame:
+    """The ``first`` most frequent values with their shares; equal counts in the values' order, null first."""
+    return distribution(df, column).orderBy(F.col("n").desc(), F.col("value").asc_nulls_first()).limit(first)
+
+
 def filter_stats(df: DataFrame) -> DataFrame:
     flag = F.coalesce("is_filtered", F.lit(False))
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(flag).alias("filtered"), F.count_if(~flag).alias("kept"))
@@ -120,3 +125,14 @@ def as_csv_view(df: DataFrame) -> DataFrame:
 def schema_peek(df: DataFrame) -> DataFrame:
     """(name, type) of each column."""
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "name string, type string")
+
+
+def first_sample(df: DataFrame, json: str | None = None, preview: int = 800) -> DataFrame:
+    """(name, type, preview, json_keys) of each column, from one row: the start of the value as text, and of the column
+    ``json`` the keys of its object, sorted. A table without rows has no previews."""
+    text = lambda c: F.decode(F.col(f"`{c}`"), "utf-8") if dict(df.dtypes)[c] == "binary" else F.col(f"`{c}`").cast("string") if dict(df.dtypes)[c][:5] not in ("array", "struc", "map<s") else F.to_json(F.col(f"`{c}`"))
+    keys = lambda c: F.array_sort(F.json_object_keys(text(c))) if c == json else F.lit(None).cast("array<string>")
+    cells = [F.struct(F.lit(c).alias("name"), F.lit(t).alias("type"), F.substring(text(c), 1, preview).alias("preview"), keys(c).alias("json_keys")) for c, t in df.dtypes]
+    shown = df.limit(1).select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    names = schema_peek(df).select(F.col("name").alias("n"), F.col("type").alias("t"))
+    return names.join(shown, F.col("n") == F.col("name"), "left").select(F.col("n").alias("name"), F.col("t").alias("type"), "preview", "json_keys")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as s
 from ..functions import vocabulary as v
-from ..operators import balance, decide, images, refill, report
+from ..operators import balance, decide, images, records as scorers, refill, report, zero_shot as zs
 from ..sources.captions import CAPTIONS_SQL, captions
 from .text_queries import _quoted
 
@@ -101,6 +101,34 @@ def local_balance_tiered(spark, sf_dir):
     return balance.local_balance(accepted, pool, K, C).select(F.col("final_label").alias("label"), "rank", "row_id", "tier")
 
 
+_EARLY = f"""WITH {RECORDS}, r AS (SELECT row_id, rule_pred AS label, trash_conf < 0.9 AND rule_pred IN ({_IN7}) AS wanted, row_number() OVER (ORDER BY md5('7_' || CAST(row_id AS VARCHAR)), row_id) AS pos FROM records),
+k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pos) AS rank FROM r WHERE wanted AND pos <= {{limit}}), few AS (SELECT * FROM k WHERE rank <= {K}),
+stop AS (SELECT min(pos) AS last FROM few WHERE pos >= {{presample}})
+SELECT label, rank, row_id FROM few, stop WHERE last IS NULL OR pos <= last"""
+
+
+def _early(spark, sf_dir, **how):
+    rows = records(spark, sf_dir).select("row_id", F.col("rule_pred").alias("label"), "trash_conf")
+    order = [balance.seeded_order(F.col("row_id"), 7), F.col("row_id")]
+    return balance.early_sample(rows, "label", order, K, C, F.col("trash_conf") < 0.9, **how).select("label", "rank", "row_id")
+
+
+@query(_EARLY.format(limit="90", presample="9e9"))
+def early_sample_limit(spark, sf_dir):
+    return _early(spark, sf_dir, limit=90)
+
+
+@query(_EARLY.format(limit="9e9", presample="70"))
+def early_sample_presample(spark, sf_dir):
+    return _early(spark, sf_dir, presample=70)
+
+
+@query(f"WITH {RECORDS} SELECT row_id FROM records WHERE trash_conf >= 0.5 ORDER BY md5(pmc_id || '_' || CAST(row_id AS VARCHAR)), row_id LIMIT 50")
+def new_chunk(spark, sf_dir):
+    rows = records(spark, sf_dir).select("pmc_id", "row_id", "trash_conf")
+    return balance.new_chunk(rows, rows.where("trash_conf < 0.5"), 50).select("row_id")
+
+
 @query(f"WITH {RECORDS}, t AS (SELECT pmc_id, row_id, row_number() OVER (PARTITION BY pmc_id ORDER BY trash_conf, row_id) AS rn FROM records) SELECT pmc_id, row_id FROM t WHERE rn = 1")
 def dedup_first(spark, sf_dir):
     rows = records(spark, sf_dir).select("pmc_id", "row_id", "trash_conf")
@@ -238,26 +266,30 @@ t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, label)
 
 
 def _similar(spark, sf_dir):
-    """Cosine of each vector with the mean vector of every label; the labels are few, their table is broadcast."""
+    """Cosine of each vector with the mean vector of every label."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    classes = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s_: s_["x"]).alias("centre"))
-    packed = classes.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("classes"))
-    scored = e.select("vec_id", "embedding").join(F.broadcast(packed), F.lit(True))
-    keyed = F.transform("classes", lambda c: F.struct((-s.cosine(F.col("embedding"), c["centre"])).alias("a"), c["label"].alias("label")))
-    return scored.select("vec_id", F.array_sort(keyed).alias("r"))
+    return zs.zero_shot(e.select("vec_id", "embedding"), "embedding", zs.mean_vectors(e, "embedding", "label"))
 
 
 @query(f"WITH {_CENTROID} SELECT vec_id, CASE WHEN cos < 0.3 THEN 'unknown' ELSE CAST(label AS VARCHAR) END AS label, round(cos, 5) AS score FROM t WHERE rank = 1")
 def zero_shot_cosine(spark, sf_dir):
-    best = _similar(spark, sf_dir).select("vec_id", F.col("r")[0].alias("b"))
-    return best.select("vec_id", F.when(-F.col("b.a") < 0.3, "unknown").otherwise(F.col("b.label").cast("string")).alias("label"), F.round(-F.col("b.a"), 5).alias("score"))
+    return _similar(spark, sf_dir).select("vec_id", F.col("text_pred").alias("label"), F.round("text_conf", 5).alias("score"))
 
 
 @query(f"WITH {_CENTROID} SELECT vec_id, rank, label, round(cos, 5) AS score FROM t WHERE rank <= 2")
 def zero_shot_top2(spark, sf_dir):
-    two = _similar(spark, sf_dir).select("vec_id", F.posexplode(F.slice("r", 1, 2)).alias("p", "b"))
-    return two.select("vec_id", (F.col("p") + 1).cast("long").alias("rank"), "b.label", F.round(-F.col("b.a"), 5).alias("score"))
+    two = _similar(spark, sf_dir).select("vec_id", F.posexplode("text_top2").alias("p", "b"))
+    return two.select("vec_id", (F.col("p") + 1).cast("long").alias("rank"), F.col("b.label").cast("int").alias("label"), F.round("b.score", 5).alias("score"))
+
+
+_HEAD = [[0.5, -1.0, 2.0], [1.5, 0.25, -0.75]]
+
+
+@query(f"""WITH {RECORDS}, z AS (SELECT row_id, {" , ".join(f"exp({' + '.join(f'({w}e0 * cnn[{k + 1}])' for k, w in enumerate(row))} + {b}e0) AS e{i}" for i, (row, b) in enumerate(zip(_HEAD, (0.1, -0.2), strict=True)))} FROM records)
+SELECT row_id, round(e0 / (e0 + e1), 6) AS p0, round(e1 / (e0 + e1), 6) AS p1 FROM z""")
+def linear_head(spark, sf_dir):
+    p = records(spark, sf_dir).select("row_id", s.linear_head(F.slice("cnn", 1, 3), _HEAD, [0.1, -0.2]).alias("p"))
+    return p.select("row_id", r6(F.col("p")[0]).alias("p0"), r6(F.col("p")[1]).alias("p1"))
 
 
 _SAID = "CASE doc_id % 4 WHEN 0 THEN 'I think: MRT_Hirn!' WHEN 1 THEN 'none of these' WHEN 2 THEN 'xray_fluoroskopie_angiographie' ELSE 'us or ct' END"
@@ -350,16 +382,50 @@ def _refilled(spark, sf_dir, config, label, conf, gap):
     return refill.refill(rows, start, score, C, config).select("pmc_id", "row_id", "final_label")
 
 
-@query()
+def _refill_sql(label: str, gate: str, k: int) -> str:
+    """One round, which is all there is where one chunk holds the whole table, as it does here."""
+    md5 = "md5(pmc_id || '_' || CAST(row_id AS VARCHAR))"
+    return f"""WITH {RECORDS}, l AS (SELECT *, {label} AS final_label FROM records),
+s AS (SELECT *, row_number() OVER (PARTITION BY final_label ORDER BY {md5}, row_id) AS rn FROM l WHERE row_id % 50 = 0),
+u AS (SELECT pmc_id, row_id, final_label, 0 AS tier FROM s WHERE rn <= {k // 10} UNION ALL
+  SELECT pmc_id, row_id, final_label, CASE WHEN {gate} THEN 1 ELSE 2 END FROM l WHERE trash_conf < 0.976 AND row_id NOT IN (SELECT row_id FROM s WHERE rn <= {k // 10})),
+t AS (SELECT *, row_number() OVER (PARTITION BY final_label ORDER BY tier, {md5}, row_id) AS rank FROM u WHERE final_label IN ({_IN7}))
+SELECT pmc_id, row_id, final_label FROM t WHERE rank <= {k}"""
+
+
+@query(_refill_sql("rule_pred", "true", refill.OVERRIDE.per_class))
 def refill_override(spark, sf_dir):
     return _refilled(spark, sf_dir, refill.OVERRIDE, F.col("rule_pred"), F.lit(1.0), F.lit(1.0))
 
 
-@query()
+@query(_refill_sql("cnn1_label", "cnn1_conf >= 0.72 AND cnn2_conf >= 0.18", refill.FUSION.per_class))
 def refill_fusion(spark, sf_dir):
     return _refilled(spark, sf_dir, refill.FUSION, F.col("cnn1_label"), F.col("cnn1_conf"), F.col("cnn2_conf"))
 
 
+_M2 = list(v.CNN2_MAPPING)
+
+
+def _votes_sql(mapping, a: int, b: int, mod: int) -> str:
+    return "[" + ", ".join(" + ".join(f"((doc_id * {a * (k + 1) + b}) % {mod}) / {mod - 1}e0" for k, m in enumerate(mapping) if mapping[m] == c) or "0e0" for c in CF) + "]"
+
+
+@query(f"""WITH {RECORDS}, a AS (SELECT *, {_ONE_HOT} AS hot, {_votes_sql(v.CNN1_MAPPING, 3, 2, 61)} AS v1, {_votes_sql(v.CNN2_MAPPING, 5, 4, 59)} AS v2 FROM records),
+b AS (SELECT *, [{", ".join(f"v1[{i}] * {1 + 0.5 * x!r} + v2[{i}] * {1 + 0.5 * y!r}" for i, (x, y) in enumerate(zip(_W1, _W2, strict=True), 1))}] AS f FROM a),
+c AS (SELECT * EXCLUDE (cnn), list_transform(f, lambda x: CASE WHEN list_sum(f) = 0 THEN x ELSE x / list_sum(f) END) AS cnn FROM b),
+d AS (SELECT *, CASE WHEN trash_conf >= 0.93 THEN 'cnn3_strong' WHEN trash_conf >= 0.65 AND list_max(bert) <= 0.5 AND list_max(cnn) <= 0.5 THEN 'cnn3_medium' WHEN trash_conf > 0.745 AND list_max(bert) < 0.7 AND list_max(cnn) < 0.7 THEN 'noconsent' END AS first_reason FROM c),
+e AS (SELECT *, {_RAW} AS raw FROM d), g AS (SELECT *, list_transform(raw, lambda x: CASE WHEN list_sum(raw) = 0 THEN x ELSE x / list_sum(raw) END) AS final FROM e)
+SELECT row_id, CASE WHEN first_reason IS NULL THEN {_list_sql(CF)}[CAST(list_position(final, list_max(final)) AS INTEGER)] END AS final_label, CASE WHEN first_reason IS NULL THEN round(list_max(final), 5) END AS final_conf,
+  coalesce(first_reason, CASE WHEN trash_conf > list_max(final) + 0.01 THEN 'cnn3stronger_than_any_cnn' END) AS filter_reason,
+  CASE WHEN first_reason IS NULL THEN CAST(to_json(list_transform(final, lambda x: round(x, 4))) AS VARCHAR) END AS scores_json FROM g""")
+def record_fusion(spark, sf_dir):
+    """The whole fusion scorer, its scores as JSON."""
+    votes = lambda names, a, b, mod: F.map_from_arrays(F.array(*map(F.lit, names)), _vec(a, b, mod, len(names)))
+    d = records(spark, sf_dir).drop("cnn").withColumnsRenamed({"bert": "bert_scores"}).withColumns({"cnn1_scores": votes(_M1, 3, 2, 61), "cnn2_scores": votes(_M2, 5, 4, 59)})
+    out = scorers.score_records(d, "fusion")
+    return out.select("row_id", "final_label", F.round("final_conf", 5).alias("final_conf"), "filter_reason", F.to_json(F.transform("final_scores", lambda x: F.round(x, 4))).alias("scores_json"))
+
+
 # Reports and views.
 
 
@@ -378,6 +444,11 @@ def label_distribution(spark, sf_dir):
     return report.distribution(records(spark, sf_dir), "rule_pred").withColumn("percent", r6(F.col("percent").cast("double")))
 
 
+@query(f"WITH {RECORDS} SELECT modality_gt AS value, count(*) AS n FROM records GROUP BY 1 ORDER BY n DESC, value NULLS FIRST LIMIT 3")
+def top_values(spark, sf_dir):
+    return report.top_values(records(spark, sf_dir), "modality_gt", 3).select("value", "n")
+
+
 def _viewed(spark, sf_dir):
     cap = captions(spark, sf_dir).select("doc_id", F.col("text").alias("caption"))
     return _agreed(spark, sf_dir).withColumnsRenamed({"cnn1_label": "cnn_pred", "cnn2_label": "cnn3_pred"}).join(cap, "doc_id")

@@ -159,16 +159,63 @@ def _split(profile):
     return run
 
 
+_TRIM = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_CUT = """parts AS (SELECT doc_id, text, string_split(regexp_replace(text, {mark}, chr(1) || {kept}, 'g'), chr(1)) AS parts FROM captions),
+pieces AS (SELECT doc_id, i, parts, split_part(parts[i], chr(2), 1) AS mark, split_part(parts[i], chr(2), 2) AS body FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM parts))"""
+_ONE_MARK = r"\(\s*(?:[A-Z]|[a-z])\s*\)"
+_LIST_MARK = r"\(\s*(?:[A-Z]\s*,\s*[A-Z](?:\s*,\s*[A-Z])*|[a-z]\s*,\s*[a-z](?:\s*,\s*[a-z])*)\s*\)"
+_RANGE_MARK = r"\(\s*(?:[A-Z]\s*[–-]\s*[A-Z]|[a-z]\s*[–-]\s*[a-z])\s*\)"
+_REFERS = " OR ".join(f"ends_with(before, {_quoted(x)})" for x in v.REFERENCE_PHRASES)
+_KEYWORD = " OR ".join(f"contains(lower(part), {_quoted(x)})" for x in v.ENUM_KEYWORDS)
+#: Panels of the strict split, a row each: doc_id, panel, section, place.
+_STRICT = f"""{_CUT.format(mark=_quoted("|".join([_ONE_MARK, _LIST_MARK, _RANGE_MARK])), kept=r"'\0' || chr(2)")},
+fine AS (SELECT doc_id, i, mark, body, lower(rtrim(right(replace(array_to_string(parts[1:i - 1], ''), chr(2), ''), 40))) AS before, trim(regexp_replace(body, '[\\s\\p{{Z}}]+', ' ', 'g')) AS part FROM pieces),
+good AS (SELECT *, regexp_replace(upper(mark), '[^A-Z,–-]', '', 'g') AS named FROM fine WHERE NOT ({_REFERS}) AND length(part) >= 8 AND NOT (len(string_split(part, ' ')) <= 5 AND NOT ({_KEYWORD})) AND NOT regexp_matches(lower(part), '\\b(?:{"|".join(v.BROKEN_ENDINGS)})$')),
+each AS (SELECT doc_id, i, body, part, unnest(CASE WHEN regexp_matches(named, '[–-]') THEN list_transform(range(ascii(left(named, 1)), ascii(right(named, 1)) + 1), lambda k: chr(CAST(k AS INTEGER))) ELSE string_split(named, ',') END) AS panel FROM good),
+sections AS (SELECT doc_id, panel, string_agg(part, ' ' ORDER BY i) AS section, min(i * 100 + ascii(panel)) AS place FROM each WHERE panel NOT IN ({", ".join(map(_quoted, v.LONE_LETTERS))}) OR regexp_matches(left(body, 20), '^\\s+[A-Z]') GROUP BY doc_id, panel),
+prefixes AS (SELECT doc_id, text, {_TRIM.format("parts[1]")} AS prefix FROM parts)"""
+_JSON = "coalesce((SELECT to_json(list({'panel': panel, 'text': section} ORDER BY place)) FROM sections s WHERE s.doc_id = p.doc_id), '[]')"
+_START_SQL = r"(?:^|\n|\.\s|;\s)"
+_FREE_MARKS = {
+    "agreement": (rf"(?i)(\([a-z]\)|\(\d+\)|\bPanel\s+[a-z]\b|\bPanel\s+\d+\b|\bfig(?:ure)?\.?\s*\d+\s*[a-z]\b|{_START_SQL}[a-z][:.])|({_START_SQL}[a-z]\s+)([a-z])", r"'\1\2' || chr(2) || '\3'"),
+    "fusion": (r"(?i)\([a-z]\)|\bPanel\s+[a-z]\b|^[a-z][:.]", r"'\0' || chr(2)"),
+}
+
+
+def _free_sql(profile: str) -> str:
+    mark, kept = _FREE_MARKS[profile]
+    name = r"""upper(CASE WHEN mark LIKE '(%' THEN regexp_replace(mark, '[()]', '', 'g') WHEN regexp_matches(mark, '(?i)^panel\s') THEN regexp_extract(mark, '(?i)^panel\s+(.*)$', 1)
+  WHEN regexp_matches(mark, '(?i)^fig(?:ure)?\.?\s*\d') THEN right(mark, 1) ELSE regexp_extract(mark, '(?i)([a-z])(?:[:.]|\s+)$', 1) END)"""
+    return f"""{WITH}, {_CUT.format(mark=_quoted(mark), kept=kept)}, named AS (SELECT doc_id, i, {name} AS panel, {_TRIM.format("body")} AS section FROM pieces),
+sections AS (SELECT doc_id, panel, arg_max(section, i) AS section, min(i) AS place FROM named GROUP BY doc_id, panel),
+p AS (SELECT doc_id, CASE WHEN len(parts) > 1 THEN {_TRIM.format("parts[1]")} ELSE text END AS prefix FROM parts)
+SELECT doc_id, prefix, CAST({_JSON} AS VARCHAR) AS sections FROM p"""
+
+
 for _p in ("override", "agreement", "fusion"):
     QUERIES[f"panel_split_{_p}"] = _split(_p)
+    ORACLES[f"panel_split_{_p}"] = f"{WITH}, {_STRICT} SELECT doc_id, prefix, CAST({_JSON} AS VARCHAR) AS sections FROM prefixes p" if _p == "override" else _free_sql(_p)
 
 
-@query()
+@query(f"""{WITH}, {_STRICT}, o AS (SELECT doc_id, unnest(regexp_extract_all(upper({_OCR}), '\\b[A-Z]\\b|\\b[0-9]+\\b')) AS panel, generate_subscripts(regexp_extract_all(upper({_OCR}), '\\b[A-Z]\\b|\\b[0-9]+\\b'), 1) AS i FROM documents),
+seen AS (SELECT doc_id, panel, min(i) AS i FROM o WHERE panel IN ({", ".join(map(_quoted, v.OCR_PANELS))}) GROUP BY doc_id, panel),
+gate AS (SELECT doc_id, regexp_matches(text, {_PANEL}) AND len(regexp_extract_all(text, '\\([A-Za-z]\\)')) >= 2 AND len(regexp_extract_all(text, '(?:^|[.;:]\\s*)\\([A-Za-z]\\)\\s+[A-Z]')) >= 2 AS multi FROM captions),
+chosen AS (SELECT doc_id, string_agg(trim(prefix || ' ' || section), ' ' ORDER BY seen.i) AS chosen, count(*) AS n FROM seen JOIN sections USING (doc_id, panel) JOIN prefixes USING (doc_id) JOIN gate USING (doc_id) WHERE multi GROUP BY doc_id)
+SELECT doc_id, coalesce(chosen, text) AS text, chosen IS NOT NULL AS ocr_used, CASE WHEN multi AND (chosen IS NOT NULL OR doc_id NOT IN (SELECT doc_id FROM seen)) THEN {_OCR} ELSE '' END AS ocr_text, CAST(coalesce(n, 0) AS INTEGER) AS n_texts
+FROM prefixes JOIN gate USING (doc_id) LEFT JOIN chosen USING (doc_id)""")
 def ocr_narrowed_captions(spark, sf_dir):
     c = captions(spark, sf_dir).withColumn("ocr_text", _ocr("doc_id"))
     return panels.narrow_to_panels(c).select("doc_id", "text", "ocr_used", "ocr_text", F.size("ocr_selected_texts").alias("n_texts"))
 
 
+@query(f"""WITH o AS (SELECT doc_id, unnest(list_transform(string_split({_OCR} || ' (14)', ' '), lambda w: upper(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')))) AS p, generate_subscripts(string_split({_OCR} || ' (14)', ' '), 1) AS i FROM documents),
+q AS (SELECT doc_id, p, min(i) AS i FROM o WHERE p <> '' GROUP BY doc_id, p)
+SELECT doc_id, string_agg(p, ',' ORDER BY i) FILTER (WHERE p IN ({", ".join(map(_quoted, v.OCR_PANELS_EARLY))})) AS early, string_agg(p, ',' ORDER BY i) FILTER (WHERE p IN ({", ".join(map(_quoted, v.OCR_PANELS_RECORD))})) AS record FROM q GROUP BY doc_id""")
+def ocr_word_panels(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(_ocr("doc_id"), F.lit(" (14)")).alias("o"))
+    return d.select("doc_id", F.array_join(t.ocr_word_panels(F.col("o")), ",").alias("early"), F.array_join(t.ocr_word_panels(F.col("o"), v.OCR_PANELS_RECORD), ",").alias("record"))
+
+
 # The rulebook.
 
 

@@ -8,25 +8,40 @@ Columns that aren't wanted are named away with ``columns``, so images stay unrea
 
 from __future__ import annotations
 
-from pathlib import Path
+import fnmatch
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, S3, ...), and the path in it."""
+    return fs.FileSystem.from_uri(folder)
+
+
 def shard_files(folder: str) -> list[str]:
     """The shards below a folder, sorted; FileNotFoundError if there are none."""
-    found = sorted(str(p) for p in Path(folder).rglob("data-*.arrow"))
+    system, path = opened(folder)
+    found = sorted(f.path for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, "data-*.arrow"))
     if not found:
         raise FileNotFoundError(f"no data-*.arrow below {folder}")
     return found
 
 
-def _schema(path: str, columns: list[str] | None) -> pa.Schema:
-    with pa.memory_map(path) as f, pa.ipc.open_stream(f) as r:
-        return pa.schema([x for x in r.schema if not columns or x.name in columns])
+def _batches(folder: str, path: str):
+    """The schema of a shard, then its batches."""
+    system = opened(folder)[0]
+    with system.open_input_file(path) as f, pa.ipc.open_stream(f) as r:
+        yield r.schema
+        yield from r
+
+
+def _schema(folder: str, columns: list[str] | None) -> pa.Schema:
+    schema = next(_batches(folder, shard_files(folder)[0]))
+    return pa.schema([x for x in schema if not columns or x.name in columns])
 
 
 class ArrowShards(DataSource):
@@ -39,23 +54,24 @@ class ArrowShards(DataSource):
         return [c.strip() for c in named.split(",")] if named else None
 
     def schema(self):
-        return from_arrow_schema(_schema(shard_files(self.options["path"])[0], self._columns()))
+        return from_arrow_schema(_schema(self.options["path"], self._columns()))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(shard_files(self.options["path"]), [f.name for f in schema.fields])
+        return _Reader(self.options["path"], shard_files(self.options["path"]), [f.name for f in schema.fields])
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, files: list[str], columns: list[str]):
-        self.files, self.columns = files, columns
+    def __init__(self, folder: str, files: list[str], columns: list[str]):
+        self.folder, self.files, self.columns = folder, files, columns
 
     def partitions(self):
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition):
-        with pa.memory_map(partition.value) as f, pa.ipc.open_stream(f) as r:
-            for batch in r:
-                yield batch.select(self.columns)
+        batches = _batches(self.folder, partition.value)
+        next(batches)
+        for batch in batches:
+            yield batch.select(self.columns)
 
 
 def register(spark: SparkSession) -> None:
