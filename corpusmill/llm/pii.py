@@ -169,9 +169,9 @@ def _term_bits(terms: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_at_bits(h, bits)))], ["p"])
 
     at = in_batches(terms.select("term"), probes, "p long")
-    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toPandas()  # at most bits / 64 rows
+    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
+    out[rows["w"].to_numpy().astype(np.int64)] = rows["x"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -242,7 +242,8 @@ def _found(bits):
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """doc_id, the number of spans of each kind, base_sha256, n_term and spans (all, ``kind:start:end``).
+    """doc_id, the number of spans of each kind, base_sha256, spans (all, ``kind:start:end``), n_term, and the sums n_base
+    (spans by pattern) and n_spans (all).
 
     Spans come by kind: the patterns' kinds as in KINDS, ``term`` (to generalise) and ``gone`` (to remove).
     Null text counts as empty. Repeated rows each give a row; an empty table gives none. A term inside a span
@@ -267,7 +268,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     rest = some.join(agg, "row", "left").select(*columns, F.coalesce(more, F.lit("")).alias("more"), F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("n_term"))
     out = plain.unionByName(rest)
     spans = F.concat_ws(",", F.nullif("base_spans", F.lit("")), F.nullif("more", F.lit("")))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), "n_term")
+    base = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), "n_term", base.alias("n_base"), (base + F.col("n_term")).alias("n_spans"))
 
 
 def redact(text: str, spans: str) -> str:

@@ -104,6 +104,74 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+# What the contract fixes of operators whose whole results SQL can't express: the same rows, less columns.
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+BASE_QUALITY_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+g AS (SELECT doc_id, k, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+often AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, word, w2, w3) AS c FROM g WHERE w3 IS NOT NULL) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM often, (SELECT unnest(range(3)) AS j) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+r AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r
+"""
+BASE_MIXING_SQL = rf"""
+WITH z AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM z GROUP BY source),
+o AS (SELECT *, 1.5e0 * sum(source_size) OVER () - coalesce(2e0 * sum(source_size) OVER (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+level AS (SELECT min_by(rest / open, source_size / w) AS level FROM o WHERE rest * w <= 2e0 * source_size * open)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(least(2e0 * source_size, level * w), 4) AS target FROM z JOIN s ON z.source IS NOT DISTINCT FROM s.source, level
+"""
+_BYTE = "(0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
+BASE_PII_SQL = rf"""
+WITH m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: list_reverse(list_transform(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''), lambda d: CAST(d AS INTEGER)))) AS c,
+  list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len(list_filter(i, lambda x: regexp_full_match(x, '({_BYTE}\.){{3}}{_BYTE}'))) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(x, lambda d, k: CASE WHEN k % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM m
+"""
+#: CRC-32 by its definition: a shift and the polynomial a bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for _ in range(8)]), lambda d, e: xor(d // 2, (d % 2) * 3988292384))), 4294967295)"
+BASE_LM_SQL = rf"""
+WITH w AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append({_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, '') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS token FROM w), c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1e0) / (n.n + 0.1e0 * (n.v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY doc_id
+"""
+BASE_EDITED_SQL = """
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS after, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS first FROM documents),
+p AS (SELECT doc_id, t, coalesce(after, first) AS after, CAST(length(t) AS BIGINT) AS n_chars FROM o)
+SELECT doc_id, n_chars, sha256(substr(t, 1, n_chars - n_chars // 3) || substr(after, 1, n_chars // 3)) AS edited_sha256 FROM p
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -115,5 +183,18 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_fingerprints": op9_fingerprints,
     "op10_line_dedup": op10_line_dedup,
+    "base_quality_counts": base_quality_counts,
+    "base_mixing_targets": base_mixing_targets,
+    "base_pii_counts": base_pii_counts,
+    "base_lm_score": base_lm_score,
+    "base_edited_texts": base_edited_texts,
+}
+ORACLES = {
+    "op8_chat_format": OP8_SQL,
+    "op10_line_dedup": OP10_SQL,
+    "base_quality_counts": BASE_QUALITY_SQL,
+    "base_mixing_targets": BASE_MIXING_SQL,
+    "base_pii_counts": BASE_PII_SQL,
+    "base_lm_score": BASE_LM_SQL,
+    "base_edited_texts": BASE_EDITED_SQL,
 }
-ORACLES = {"op8_chat_format": OP8_SQL, "op10_line_dedup": OP10_SQL}

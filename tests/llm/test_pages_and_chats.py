@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, html_extract
 from corpusmill.llm.boosting import BoostedTrees
@@ -51,6 +52,39 @@ def test_odd_markup():
     assert [t for _, t in parse("x<script>if (a<b) '</p>'</script>y<style>z</style><!-- n -->&lt;q&gt;")[1]] == ["x y <q>"]
 
 
+def test_attributes_are_read_as_html_says():
+    texts = lambda source: [t for _, t in parse(source)[1]]
+    assert texts("<p>It's <a title=don't href=x>link</a> text and it isn't lost</p>") == ["It's link text and it isn't lost"]
+    assert texts('<p>a <a href="x>b</a> c</p> d') == ["a b c", "d"]  # a quote that is never closed
+    assert texts("<p title='a>b' data-x=1>one<p class=x'y>two") == ["one", "two"]
+    assert texts("<p>E = <math><mi>m</mi><annotation>tex</annotation></math> holds, <object>so</object> <svg><text>it</text></svg> is</p>") == ["E = m holds, so it is"]
+    assert texts("<button>Send</button><p>press <button>OK</button> now</p>") == ["press OK now"]
+    assert parse("<p class='a\"b' ID=x/y class=no hidden>t</p>")[0].children[0].attrs == {"class": 'a"b', "id": "x/y", "hidden": ""}
+    assert texts("<p " + 'a="' * 20001) == []
+
+
+WRITTEN = [
+    (
+        """<html><body><div id=top class="site-head"><a href=/>Home</a> | <a href=/news>News</a></div><div id="wrap"><div class='post-body' data-x="a>b"><h2 title=it's>Why the river's level isn't falling</h2>
+<p>It's <a title=don't href=x>a link</a> text and it isn't lost, since the parser reads attributes as browsers do.</p><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in these units, and press <button>OK</button> to go on reading here.</p>
+<ul><li>First point of the list that has some words in it</li><li>Second point of the list, with a comma</li></ul></div><div class="related"><ul><li><a href=1>Other story one</a></li><li><a href=2>Other story two</a></li></ul></div></div>
+<div id="foot">Copyright 2020. All rights reserved. <a href=/p>Privacy</a></div></body></html>""",
+        ["Why the river's level isn't falling", "It's a link text and it isn't lost, since the parser reads attributes as browsers do.", "Energy is E=m in these units, and press OK to go on reading here.", "First point of the list that has some words in it", "Second point of the list, with a comma"],
+    ),
+    (
+        """<main><header><h1>A long walk along the coast</h1></header><p class=lead onclick="go('x')">The path begins at the harbour, passes the old mill and climbs to the cliffs where birds nest in spring.</p>
+<blockquote>Nobody who has seen the bay at dawn forgets it, the keeper of the lighthouse said.</blockquote><figure><img src=a.jpg alt="x"><figcaption>The lighthouse in winter, seen from the south.</figcaption></figure>
+<p>After that the way is <em title="a"b>easy</em>, and the village can be reached before noon.</p></main><aside class="sidebar"><h3>Popular</h3><ul><li><a href=#>Ten beaches</a></li></ul></aside><div class="newsletter"><form><input name=q value="it's"><button>Subscribe</button></form></div>""",
+        ["A long walk along the coast", "The path begins at the harbour, passes the old mill and climbs to the cliffs where birds nest in spring.", "Nobody who has seen the bay at dawn forgets it, the keeper of the lighthouse said.", "The lighthouse in winter, seen from the south.", "After that the way is easy, and the village can be reached before noon."],
+    ),
+]
+
+
+def test_pages_written_by_hand():
+    got = list(html_extract.extract([source for source, _ in WRITTEN], html_extract.trained()))
+    assert [t.split("\n") for t in got] == [want for _, want in WRITTEN]
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (3, "v", "", "x"), (4, "w", "<p>" + "word " * 50000 + "</p>", "x")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -122,3 +156,5 @@ def test_pipeline_contract(spark, tmp_path):
     assert ids("minhash_near_dedup") == set(range(60))
     assert ids("source_mixing") <= set(range(60)) and seen["bpe_tokens"].count() == seen["source_mixing"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["bpe_tokens"].count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0).select("doc_id").withColumns(dict.fromkeys(["text", "lang", "source"], F.lit("x"))).withColumn("n_chars", F.lit(1)), str(tmp_path)).count() == 0
