@@ -93,7 +93,8 @@ def _rows(triples):
 def exchange(docs: DataFrame, ranges: int, request, payload, serve, merge, total, schema: str, text: str = "text") -> DataFrame:
     """``request(ids, texts, ranges)`` yields (range, blob); ``payload(ids, texts)`` gives a blob;
     ``serve([blob of each block])`` gives a blob about the range, then a reply blob for each;
-    ``merge(payload blob, {range: reply})`` yields record batches of ``schema``, ``total(blob)`` one for a range."""
+    ``merge(payload blob, {range: reply})`` yields record batches of ``schema``, ``total(blob)``, if there is one, gives
+    one for a range."""
 
     def ask(batches):
         return _rows((r, block, blob) for block, ids, texts in _blocks(batches) for r, blob in request(ids, texts, ranges))
@@ -116,7 +117,9 @@ def exchange(docs: DataFrame, ranges: int, request, payload, serve, merge, total
     def answer(batches):
         for rows in groups(batches, 0):
             served = serve([x[2] for x in rows])
-            yield from _rows([(LAST, -1 - rows[0][0], next(served))])
+            about = next(served)
+            if total:
+                yield from _rows([(LAST, -1 - rows[0][0], about)])
             for (r, block, _), blob in zip(rows, served, strict=True):
                 yield from _rows([(r, block, blob)])
 

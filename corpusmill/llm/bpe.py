@@ -1,14 +1,11 @@
 """Byte-level BPE encoding and decoding by a table of distinct words.
 
 Texts are split into words at places where the tokenizer's own splitting always cuts. A block of documents asks
-for each of its distinct words once; the rows (word, block) are shuffled by word, each distinct word of the
-corpus is encoded once, by the library, and its ids go back to the blocks that asked, where they are put at all
-positions. Decoding joins ids with the vocabulary's pieces (one row an id, so its size is the vocabulary's) and
-reads the joined bytes as UTF-8.
-
-The documents are read twice, for the words and for their positions, instead of being shuffled or written twice.
-Both reads must give the same rows in the same partitions, as a scan of files does; a check value fails loudly if
-they don't.
+for each of its distinct words once; the words are dealt by hash to ranges, where each distinct word of the corpus is
+encoded once, by the library; its ids go back to the blocks that asked, which put them at all positions. Words
+travel packed (see ``blocks``): as rows of their own they and their ids took more than twice the shuffle.
+Decoding joins ids with the vocabulary's pieces (one row an id, so its size is the vocabulary's) and reads the
+joined bytes as UTF-8.
 """
 
 from __future__ import annotations
@@ -18,20 +15,18 @@ import hashlib
 import json
 import os
 import re
+import zlib
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import packed, planes, unpacked, unplanes
+from .blocks import exchange, packed, planes, range_count, unpacked, unplanes
 from .common import in_batches, small
 
-#: Characters of a block (a longer document is a block of its own).
-BLOCK_CHARS = 16 << 20
-#: The place of a block's own row behind its words'.
-LAST = (1 << 31) - 1
 #: Words that the library gets at a time; documents whose ids are put together at a time.
 AT_ONCE, STEP = 20000, 256
 #: Anything that some definition takes for white space, besides the four plain ones.
@@ -47,61 +42,41 @@ def split_words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-class _Block:
-    """Documents with the numbers of their words; a number tells the order in which words appeared."""
+def _numbered(texts: list[str]):
+    """Each distinct word's number in order of appearance, the numbers at all positions, words of each text."""
+    number: dict[str, int] = {}
+    at, counts = [], []
+    for t in texts:
+        words = split_words(t)
+        counts.append(len(words))
+        at.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+    return number, np.concatenate(at) if at else np.zeros(0, np.uint32), np.array(counts, np.uint32)
 
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.ids, self.at, self.counts, self.size = [], [], [], 0
 
-    def add(self, ids: list, texts: list) -> None:
-        at = []
-        for t in texts:
-            words = split_words(t) if t else []
-            self.counts.append(len(words))
-            self.size += len(t or "")
-            at += [self.number.setdefault(w, len(self.number)) for w in words]
-        self.ids += ids
-        self.at.append(np.array(at, np.uint32))
+def _dealt(number: dict, ranges: int):
+    """Distinct words as bytes, and each one's range."""
+    raw = [w.encode() for w in number]
+    return raw, np.fromiter((zlib.crc32(w) % ranges for w in raw), np.uint32, len(raw))
 
-    @property
-    def check(self) -> int:
-        return len(self.number) << 32 | len(self.ids)
 
+def _request(ids, texts, ranges):
+    raw, dealt = _dealt(_numbered(texts)[0], ranges)
+    order = np.argsort(dealt, kind="stable")
+    cut = np.flatnonzero(np.diff(dealt[order])) + 1
+    for part in np.split(order, cut) if len(order) else []:
+        words = [raw[k] for k in part]
+        yield int(dealt[part[0]]), packed(planes(np.array([len(w) for w in words], np.uint32)), planes(np.frombuffer(b"".join(words), np.uint8)))
 
-def _blocks(batches):
-    """(block id, block) until the rows end."""
-    base, seq, block = 0, 0, _Block()
-    for batch in small(batches, STEP):
-        base = batch.column(2)[0].as_py() << 32 if batch.num_rows else base
-        block.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        if block.size >= BLOCK_CHARS:
-            yield base + seq, block
-            seq, block = seq + 1, _Block()
-    if block.ids:
-        yield base + seq, block
 
+def _payload_of(ranges: int):
+    def payload(ids, texts):
+        number, at, counts = _numbered(texts)
+        _, dealt = _dealt(number, ranges)
+        known = np.array([i is not None for i in ids], np.uint8)
+        own = np.array([i or 0 for i in ids], np.int64)
+        return packed(planes(own), planes(known), planes(counts), planes(at), planes(dealt))
 
-ASKED = "block long, k int, word string, check long"
-ANSWERED = "block long, k int, ids array<int>, check long, own binary"
-
-
-def _asked(batches):
-    for name, block in _blocks(batches):
-        words = pa.array(list(block.number), pa.string())
-        for a in range(0, len(words), 1 << 16):
-            part = words[a : a + (1 << 16)]
-            k = np.arange(a, a + len(part), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), pa.array(k), part, pa.array(np.full(len(k), block.check))], ["block", "k", "word", "check"])
-
-
-def _own(batches):
-    for name, block in _blocks(batches):
-        known = np.array([i is not None for i in block.ids], np.uint8)
-        own = np.array([i or 0 for i in block.ids], np.int64)
-        blob = packed(planes(own), planes(known), planes(np.array(block.counts, np.uint32)), *[planes(np.concatenate(block.at[a : a + 16])) for a in range(0, len(block.at), 16)])
-        none = pa.array([None], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([LAST], pa.int32()), none, pa.array([block.check]), pa.array([blob], pa.binary())], ["block", "k", "ids", "check", "own"])
+    return payload
 
 
 @functools.lru_cache(maxsize=1)
@@ -115,68 +90,58 @@ def _load(text: str):
     return tok
 
 
-def _served(vocabulary):
-    """Rows sorted by word -> the same rows with the word's ids; a word is encoded once however often it stands."""
-
-    def run(batches):
-        tok, before, kept = _load(vocabulary.value), None, []
-        for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(a, AT_ONCE)
-                runs = pc.run_end_encode(part.column(2))
-                words, ends = runs.values.to_pylist(), np.asarray(runs.run_ends)
-                same = bool(words) and words[0] == before
-                found = ([kept] if same else []) + [e.ids for e in tok.encode_batch(words[same:], add_special_tokens=False)]
-                if words:
-                    before, kept = words[-1], found[-1]
-                lists = pa.array(found, pa.list_(pa.int32())).take(pa.array(np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))))
-                own = pa.nulls(part.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, part.column(3), own], ["block", "k", "ids", "check", "own"])
-
-    return run
-
-
-def _merged(batches):
-    """Rows sorted by block and place -> (doc_ids, array of ids), STEP documents at a time."""
-    lens, flat, check, seen = [], [], None, 0
-    for batch in batches:
-        own, block_check = batch.column(4), batch.column(3).to_numpy()
-        begin = 0
-        for end in [*np.flatnonzero(batch.column(1).to_numpy() == LAST).tolist(), batch.num_rows]:
-            words = batch.slice(begin, end - begin)
-            if words.num_rows:
-                ids = words.column(2)
-                lens.append(np.diff(np.asarray(ids.offsets)))
-                flat.append(np.asarray(ids.flatten()))
-                check, seen = int(block_check[begin]), seen + words.num_rows
-            if end < batch.num_rows:
-                if seen != int(block_check[end]) >> 32 or (seen and check != int(block_check[end])):
-                    raise RuntimeError("two reads of the documents dealt their rows differently; write them to files first")
-                yield from _placed(own[end].as_py(), lens, flat)
-                lens, flat, seen = [], [], 0
-            begin = end + 1
-
-
-def _placed(blob, lens, flat):
-    parts = unpacked(blob)
-    own, known, counts = (unplanes(p, k) for p, k in zip(parts[:3], (np.int64, np.uint8, np.uint32), strict=True))
-    length = np.concatenate(lens).astype(np.int64) if lens else np.zeros(0, np.int64)
-    begin = np.cumsum(length) - length
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-    rest, ends = (unplanes(p, np.uint32) for p in parts[3:]), np.cumsum(counts.astype(np.int64))
-    at = np.zeros(0, np.uint32)
+def _server(vocabulary):
+    def serve(blobs):
+        tok = _load(vocabulary.value)
+        number: dict[bytes, int] = {}
+        asked = []
+        for blob in blobs:
+            lens, data = (unplanes(p, k) for p, k in zip(unpacked(blob), (np.uint32, np.uint8), strict=True))
+            ends, data = np.cumsum(lens), data.tobytes()
+            asked.append(np.array([number.setdefault(data[e - n : e], len(number)) for e, n in zip(ends.tolist(), lens.tolist(), strict=True)], np.int64))
+        words, length, flat = list(number), [], []
+        for a in range(0, len(words), AT_ONCE):
+            found = [e.ids for e in tok.encode_batch([w.decode() for w in words[a : a + AT_ONCE]], add_special_tokens=False)]
+            length.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(length[-1].sum())))
+        length, flat = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((length, np.int64), (flat, np.uint32)))
+        begin = np.cumsum(length) - length
+        yield b""
+        for want in asked:
+            n = length[want]
+            yield packed(planes(n.astype(np.uint32)), planes(flat[_runs(begin[want], n)]))
+
+    return serve
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions begin[i], begin[i] + 1, ... of n[i] entries each."""
+    stop = np.cumsum(n)
+    return np.repeat(begin - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
+def _placed(blob, replies):
+    """(doc_ids, array of ids) of a block, STEP documents at a time."""
+    own, known, counts, at, dealt = (unplanes(p, k) for p, k in zip(unpacked(blob), (np.int64, np.uint8, np.uint32, np.uint32, np.uint32), strict=True))
+    length, begin = np.zeros(len(dealt), np.int64), np.zeros(len(dealt), np.int64)
+    flat, base = [], 0
+    order = np.argsort(dealt, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1) if len(order) else []:
+        lens, ids = (unplanes(p, np.uint32) for p in unpacked(replies.pop(int(dealt[part[0]]), None) or packed(b"", b"")))
+        if len(lens) != len(part):
+            raise RuntimeError("two reads of the documents differ; write them to files first")
+        length[part] = lens
+        begin[part] = base + np.cumsum(lens.astype(np.int64)) - lens
+        flat.append(ids)
+        base += len(ids)
+    flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+    ends = np.cumsum(counts.astype(np.int64))
     for a in range(0, len(own), STEP):
-        n_words = int(counts[a : a + STEP].sum())
-        while len(at) < n_words:
-            at = np.concatenate((at, next(rest)))
-        words, at = at[:n_words], at[n_words:]
-        n = length[words]
-        stop = np.cumsum(n)
-        ids = flat[np.repeat(begin[words] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        word_end = np.concatenate(([0], stop))
-        first = int(ends[a - 1]) if a else 0
-        offsets = word_end[np.concatenate(([first], ends[a : a + STEP])) - first].astype(np.int32)
-        yield pa.array(own[a : a + STEP], mask=known[a : a + STEP] == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+        lo, hi = (int(ends[a - 1]) if a else 0), int(ends[min(a + STEP, len(own)) - 1])
+        n = length[at[lo:hi]]
+        word_end = np.concatenate(([0], np.cumsum(n)))
+        offsets = word_end[np.concatenate(([lo], ends[a : a + STEP])) - lo].astype(np.int32)
+        yield pa.array(own[a : a + STEP], mask=known[a : a + STEP] == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[_runs(begin[at[lo:hi]], n)]))
 
 
 def vocabulary_text(path: str | None = None) -> str:
@@ -189,13 +154,12 @@ def vocabulary_text(path: str | None = None) -> str:
         return f.read()
 
 
-def _gathered(docs: DataFrame, text: str, path: str | None) -> DataFrame:
-    """Each block's distinct words with their ids, in order, and behind them the block's own row."""
+def _encoded(docs: DataFrame, text: str, path: str | None, shown: Callable, schema: str) -> DataFrame:
+    """What ``shown`` makes of the doc_ids and ids of a few documents at a time."""
+    ranges = range_count(docs, text)
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_text(path))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    asked = in_batches(df, _asked, ASKED).repartition("word").sortWithinPartitions("word")
-    answers = in_batches(asked, _served(vocabulary), ANSWERED).unionByName(in_batches(df, _own, ANSWERED))
-    return answers.repartition("block").sortWithinPartitions("block", "k")
+    merge = lambda blob, replies: (shown(own, ids) for own, ids in _placed(blob, replies))
+    return exchange(docs, ranges, _request, _payload_of(ranges), _server(vocabulary), merge, None, schema, text)
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -204,23 +168,13 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
     Null text counts as empty and has no ids. Repeated rows, repeated and null doc_ids pass through.
     An empty table gives an empty result; further columns are ignored.
     """
-
-    def run(batches):
-        for own, ids in _merged(batches):
-            yield pa.RecordBatch.from_arrays([own, ids], ["doc_id", "ids"])
-
-    return in_batches(_gathered(docs, text, path), run, "doc_id long, ids array<int>")
+    return _encoded(docs, text, path, lambda own, ids: pa.RecordBatch.from_arrays([own, ids], ["doc_id", "ids"]), "doc_id long, ids array<int>")
 
 
 def encoded_digest(docs: DataFrame, text: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """``digest(encode(docs))`` in one Python stage instead of two; nulls, repeats and empty tables as there."""
     table = docs.sparkSession.sparkContext.broadcast(pieces(path))
-
-    def run(batches):
-        for own, ids in _merged(batches):
-            yield _digest(own, ids, table.value, keep_ids)
-
-    return in_batches(_gathered(docs, text, path), run, DIGEST + ", ids array<int>" * keep_ids)
+    return _encoded(docs, text, path, lambda own, ids: _digest(own, ids, table.value, keep_ids), DIGEST + ", ids array<int>" * keep_ids)
 
 
 def pieces(path: str | None = None) -> pa.Array:
