@@ -11,6 +11,8 @@ from .common import discard, staged
 HOT_SHARE = 1000
 #: Below this a key is never hot.
 HOT_LEAST = 256
+#: Edges that a task writes at least, so that few edges are few files.
+EDGES = 250_000
 
 
 def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -35,8 +37,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = staged(_clean(edges.select("a", "b")), name)
     mark = _mark(now)
     while True:
-        half = staged(_large_star(now, 2 * mark[0]), name)
-        new = staged(_small_star(half, mark[0]), name)
+        tasks = 1 + mark[0] // EDGES
+        half = staged(_large_star(now, 2 * mark[0]).coalesce(tasks), name)
+        new = staged(_small_star(half, mark[0]).coalesce(tasks), name)
         seen = _mark(new)
         discard(half)
         discard(now)

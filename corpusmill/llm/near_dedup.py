@@ -23,13 +23,13 @@ from .graph import components, joined_by_key
 PART = 4
 #: Chance that a pair exactly at the threshold shares no part of a collection.
 MISS = 1e-5
-#: Bytes of the shingle sets that a task compares at once; larger clusters are cut, or dealt in chunks.
-CHUNK_BYTES = 8 << 20
+#: Documents, and bytes of their shingle sets, that a task compares at once; larger clusters are cut, or dealt in chunks.
+CHUNK, CHUNK_BYTES = 4096, 8 << 20
 LEADERS = 16
 #: Bits of a filter for each value it holds; the most bits one may have. Beyond that ids are joined instead.
 BITS_EACH, MAX_BITS = 16, 1 << 27
 #: Buckets in which the shingles of large clusters are counted, so that the rare ones are known.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 
 
 def parts_for(threshold: float, part: int = PART, miss: float = MISS) -> int:
@@ -104,9 +104,9 @@ def filter_bits(values: int) -> int:
 def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit set over a column's values; two bits for each."""
     at = df.select(F.explode(F.array(*_probes(column, bits))).alias("p"))
-    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toPandas()  # at most bits / 64 rows
+    rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("x")).toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["x"].to_numpy(np.int64)
+    out[rows["w"].to_numpy().astype(np.int64)] = rows["x"].to_numpy()
     return out.view(np.uint8)
 
 
@@ -234,11 +234,16 @@ def _stars(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
     return joined_by_key(rows, least, keys, total).where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
+def _chunks(n_bytes, docs):
+    """How many chunks so much makes, as a fraction."""
+    return F.greatest(n_bytes / CHUNK_BYTES, docs / CHUNK)
+
+
 def _weighed(cluster: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(node, component) -> (node, g1, bytes): with the bytes of all sets of the component."""
+    """(node, component) -> (node, g1, load): with the chunks that all sets of the component make."""
     own = cluster.join(sizes, "node")
-    total = own.groupBy("component").agg((8 * F.sum("n_shingles")).alias("bytes"), F.count(F.lit(1)).alias("c"))
-    return joined_by_key(cluster, total, ["component"], cluster.count()).select("node", F.col("component").alias("g1"), "bytes")
+    total = own.groupBy("component").agg(_chunks(8 * F.sum("n_shingles"), F.count(F.lit(1))).alias("load"), F.count(F.lit(1)).alias("c"))
+    return joined_by_key(cluster, total, ["component"], cluster.count()).select("node", F.col("component").alias("g1"), "load")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
@@ -269,19 +274,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
         wanted, probe = None, probe.join(cluster.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = in_batches(probe, _full_sets(size, wanted), "node long, grams binary").where("length(grams) > 0")
     sizes = reps.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    members = staged(_weighed(cluster, sizes).join(sets, "node").select("g1", "node", "bytes", "grams"), "near-members")
-    large = members.where(f"bytes > {CHUNK_BYTES}")
-    groups = members.where(f"bytes <= {CHUNK_BYTES}")
-    found = None
+    members = staged(_weighed(cluster, sizes).join(sets, "node").select("g1", "node", "load", "grams"), "near-members")
+    large = members.where("load > 1")
+    groups = members.where("load <= 1")
+    found, done = None, [cluster, members]
     if not large.isEmpty():
         finer = staged(components(_sharing_rare_shingles(large, percent), "near-finer"), "near-finer")
-        cut = staged(large.drop("g1", "bytes").join(_weighed(finer, sizes), "node").select("g1", "node", "bytes", "grams"), "near-cut")
-        groups = groups.unionByName(cut.where(f"bytes <= {CHUNK_BYTES}"))
-        if not (still := cut.where(f"bytes > {CHUNK_BYTES}")).isEmpty():
+        cut = staged(large.drop("g1", "load").join(_weighed(finer, sizes), "node").select("g1", "node", "load", "grams"), "near-cut")
+        done += [finer, cut]
+        groups = groups.unionByName(cut.where("load <= 1"))
+        if not (still := cut.where("load > 1")).isEmpty():
             found = _large_clusters(still, percent)
     zero = F.lit(0).cast("long")
     links = _links(groups.withColumns({"g2": zero, "g3": zero, "query": F.lit(False)}), percent, only_queries=False)
     joined = components(links if found is None else links.unionByName(found), "near-components")
+    for table in done:  # the components are written, so nothing reads these again
+        discard(table)
     comp = reps.join(joined, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = sig.drop("u", "v").join(comp, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
@@ -322,9 +330,9 @@ def _sharing_rare_shingles(large: DataFrame, percent: int) -> DataFrame:
     shingles are put in, one shared shingle is among the first of both. Here the rare ones come first; how often
     a shingle stands is counted in BUCKETS buckets, which changes the order only. No link is lost.
     """
-    counted = in_batches(large.select("grams"), _bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    counted = in_batches(large.select("grams"), _bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     often = np.zeros(BUCKETS, np.int64)
-    often[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     shared = large.sparkSession.sparkContext.broadcast(often)
     rare = staged(in_batches(large.select("g1", "node", "grams"), _prefixes(shared, percent), "g1 long, s long, node long"), "near-rare")
     return _stars(rare, ["g1", "s"], rare.count())
@@ -336,7 +344,7 @@ def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     First a few leaders are compared with every member, chunk by chunk. Then every member outside its
     cluster's largest component is compared with every member: no link between components is missed.
     """
-    parts = F.ceil(F.col("bytes") / CHUNK_BYTES).cast("long")
+    parts = F.ceil("load").cast("long")
     zero = F.lit(0).cast("long")
     dealt = members.withColumns({"g2": F.pmod(F.xxhash64("node", F.lit(5)), parts), "g3": zero, "query": F.lit(False)})
     every = F.explode(F.sequence(zero, parts - 1))
@@ -346,12 +354,12 @@ def _large_clusters(members: DataFrame, percent: int) -> DataFrame:
     query = members.join(lead.select("g1", "node"), ["g1", "node"], "left_semi").withColumns({"query": F.lit(True), "g3": zero}).withColumn("g2", every)
     first = staged(_links(dealt.select(columns).unionByName(query.select(columns)), percent, only_queries=True), "near-leaders")
     joined = staged(components(first, "near-leaders"), "near-leaders")
-    at = members.select("g1", "node", "bytes", (F.length("grams") / 1).alias("own")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = members.select("g1", "node", F.length("grams").cast("long").alias("own")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     weight = at.groupBy("g1", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = weight.groupBy("g1").agg(F.max(F.struct("c", "component")).alias("x")).select(F.col("x.component").alias("component"))
     # A component lies in one cluster, so its own id tells both; the clusters are few, each over CHUNK_BYTES.
     rest = staged(at.join(largest, "component", "left_anti").select("g1", "node", "own"), "near-rest")
-    blocks = rest.groupBy("g1").agg(F.ceil(F.sum("own") / CHUNK_BYTES).cast("long").alias("blocks"), F.count(F.lit(1)).alias("c"))
+    blocks = rest.groupBy("g1").agg(F.ceil(_chunks(F.sum("own"), F.count(F.lit(1)))).cast("long").alias("blocks"), F.count(F.lit(1)).alias("c"))
     asked = members.join(joined_by_key(rest.drop("own"), blocks, ["g1"], rest.count()), ["g1", "node"])
     asked = asked.withColumns({"query": F.lit(True), "g3": F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))}).withColumn("g2", every)
     counts = members.groupBy("g1").agg(F.count(F.lit(1)).alias("c"))

@@ -123,6 +123,7 @@ def _brute_components(rows, size, percent):
 @pytest.mark.parametrize(("size", "percent", "chunk"), [(3, 85, 8 << 20), (5, 80, 8 << 20), (3, 85, 4000)])
 def test_near_duplicates(docs, rows, size, percent, chunk, monkeypatch):
     monkeypatch.setattr(near_dedup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(near_dedup, "CHUNK", 256 if chunk > 5000 else 4)
     monkeypatch.setattr(near_dedup, "LEADERS", 2)
     want = _brute_components(rows, size, percent)
     got = by_id(near_dedup.near_duplicates(docs, size=size, percent=percent))
