@@ -72,11 +72,17 @@ def normalized(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda a, x: a + x, share)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double at so many places as SQL engines round it: by its product with a power of ten. Spark's own round takes
+    the shortest decimal text of the double, which may be a half where the double is below one."""
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def fused(rule: Column, text: Column, image: Column, trash: Column) -> Column:
-    """The three votes with equal weights, lowered by the trash score, normalized."""
+    """The three votes with equal weights, lowered by the trash score; not normalized."""
     w = F.lit(v.FUSION_WEIGHT)
     summed = F.zip_with(F.zip_with(rule, text, lambda a, b: w * a + w * b), image, lambda s, c: s + w * c)
-    return normalized(F.transform(summed, lambda s: s * (1 - v.TRASH_WEIGHT * trash)))
+    return F.transform(summed, lambda s: s * (1 - v.TRASH_WEIGHT * trash))
 
 
 def one_hot(label: Column, classes: list[str]) -> Column:
