@@ -33,7 +33,7 @@ def test_record_fusion_has_the_scores_of_its_sql(spark, tmp_path):
     assert differences(spark, folder, "record_fusion") == ([], [])
 
 
-@pytest.mark.parametrize("name", ["refill_fusion"])
+@pytest.mark.parametrize("name", ["refill_fusion", "refill_override"])
 def test_refill_chooses_from_the_whole_table(spark, tmp_path, name):
     folder = numbered(spark, tmp_path, range(50000))
     assert differences(spark, folder, name) == ([], [])
