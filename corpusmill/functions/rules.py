@@ -1,21 +1,23 @@
-"""The prioritized rulebook, compiled to column expressions.
+"""The prioritized rulebook.
 
-Every pattern is guarded by a literal that each of its matches must contain, so most patterns cost one
-substring search. A pattern that is listed twice counts twice.
+A text's words are looked up once, and a pattern is tried only where the words that its matches must contain are
+found (``literals.Matcher``, in Arrow batches: expressions would search the text once for every pattern). What follows
+from the matches is column expressions. A pattern that is listed twice counts twice.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import zip_longest
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
-from .literals import required_literal
+from .literals import each_text, matcher, required_literal  # noqa: F401
 from .once import once
-from .text import UNICODE, normalize_for_rules
 
 
 def interleaved(*lists: list[str]) -> list[str]:
@@ -58,22 +60,51 @@ def _quoted(x: str) -> str:
     return 'r"' + x + '"'  # raw: no pattern holds a double quote
 
 
-def _found(patterns: list[str]) -> str:
-    """Those of the patterns that match. Each is a constant, so it is compiled once and not for every row."""
-    guard = lambda p: f"contains(__text, {_quoted(x)}) and " if (x := required_literal(p)) else ""
-    return "filter(array(" + ", ".join(f"if({guard(p)}__text rlike {_quoted(UNICODE + p)}, {_quoted(p)}, null)" for p in patterns) + "), x -> x is not null)"
+#: What Python's split() takes for white space and the expressions of ``text`` don't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
-def hits(text: str, book: Rulebook) -> Column:
+def normalized(text: str) -> str:
+    """As ``text.normalize_for_rules``."""
+    t = text.lower()
+    for c in "_/\\-":
+        t = t.replace(c, " ")
+    return _WHITE.sub(" ", t).strip(" ") if _SEPARATORS.search(t) else " ".join(t.split())
+
+
+def _matches(book: Rulebook):
+    """A function of a text column: struct<empty, found>, the places of all matching patterns in the rulebook's rows."""
+    patterns = tuple(p for ps in book.patterns.values() for p in ps)
+
+    @F.arrow_udf("empty boolean, found array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        m, empty, found = matcher(patterns), [], []
+        for t in map(normalized, each_text(texts)):
+            empty.append(not t)
+            found.append(list(m.found(t, t)))
+        return pa.StructArray.from_arrays([pa.array(empty, pa.bool_()), pa.array(found, pa.list_(pa.int32()))], ["empty", "found"])
+
+    return run.asNondeterministic()  # else filters would be pushed below it with a copy of it
+
+
+def hits(found: str, book: Rulebook) -> Column:
     """array<struct<label, pos, score, priority, is_filter, patterns>> of the labels with a match, in rulebook
-    order. The column ``text`` must be normalized for rules."""
-    per_label = [
-        f"named_struct('label', '{label}', 'pos', {pos}, 'priority', {book.priority[label]}, 'is_filter', {str(label in v.FILTER_CLASSES).lower()}, 'patterns', {_found(patterns)})"
-        for pos, (label, patterns) in enumerate(book.patterns.items())
-    ]
-    # The matches are found first and counted after, or each would be looked for twice.
+    order. ``found`` holds the places of the matching patterns."""
+    per_label, a = [], 0
+    for pos, (label, patterns) in enumerate(book.patterns.items()):
+        own = f"transform(filter(`{found}`, k -> k >= {a} and k < {a + len(patterns)}), k -> element_at(array({', '.join(map(_quoted, patterns))}), k - {a} + 1))"
+        per_label.append(f"named_struct('label', '{label}', 'pos', {pos}, 'priority', {book.priority[label]}, 'is_filter', {str(label in v.FILTER_CLASSES).lower()}, 'patterns', {own})")
+        a += len(patterns)
     some = "filter(array(" + ", ".join(per_label) + "), h -> size(h.patterns) > 0)"
-    return F.expr(f"transform({some}, h -> named_struct('label', h.label, 'pos', h.pos, 'score', size(h.patterns), 'priority', h.priority, 'is_filter', h.is_filter, 'patterns', h.patterns))".replace("__text", f"`{text}`"))
+    return F.expr(f"transform({some}, h -> named_struct('label', h.label, 'pos', h.pos, 'score', size(h.patterns), 'priority', h.priority, 'is_filter', h.is_filter, 'patterns', h.patterns))")
+
+
+def _with_hits(df, text: str, book: Rulebook, out: str):
+    """Adds __empty, whether the text is, and ``out``."""
+    df = df.withColumn("__m", _matches(book)(F.col(text)))
+    df = df.withColumns({"__empty": F.col("__m.empty"), "__found": F.col("__m.found")})
+    return once(df, out, hits("__found", book)).drop("__m", "__found")
 
 
 def _best(found: Column) -> Column:
@@ -83,8 +114,7 @@ def _best(found: Column) -> Column:
 
 
 def with_rule_hits(df, text: str, book: Rulebook, out: str = "rule_hits"):
-    normal = once(df, "__t", normalize_for_rules(F.col(text)))
-    return once(normal, out, hits("__t", book)).drop("__t")
+    return _with_hits(df, text, book, out).drop("__empty")
 
 
 def classify(df, text: str, book: Rulebook):
@@ -93,7 +123,7 @@ def classify(df, text: str, book: Rulebook):
     Null or empty text: ``unknown``, ``empty_text``. No hit: ``unknown``, ``no_rule_match``. A filter class
     wins over every imaging class; then a hybrid hit, then an angiography hit, then the best score.
     """
-    df = once(once(df, "__t", normalize_for_rules(F.col(text))), "__hits", hits("__t", book))
+    df = _with_hits(df, text, book, "__hits")
     found = F.col("__hits")
     scored = F.transform(found, lambda x: x.withField("score", x["score"] + _bonus(x["label"], book)))
     filters = F.filter(found, lambda x: x["is_filter"])
@@ -105,7 +135,7 @@ def classify(df, text: str, book: Rulebook):
     df = once(df, "__w", winner)
     w = F.col("__w")
     reason = (
-        F.when(F.col("__t") == "", "empty_text").when(F.size("__hits") == 0, "no_rule_match")
+        F.when(F.col("__empty"), "empty_text").when(F.size("__hits") == 0, "no_rule_match")
         .when(w["is_filter"], F.concat(F.lit("forced_filter:"), w["label"]))
         .when(w["label"] == v.HYBRID, "forced_hybrid_ct").when(w["label"] == v.ANGIO, "forced_angiography")
         .otherwise(F.concat(F.lit("parallel_rule:"), w["label"], F.lit("; hits="), w["score"].cast("string")))
@@ -113,7 +143,7 @@ def classify(df, text: str, book: Rulebook):
     return df.withColumns({
         "rule_hits": found, "rule_pred": F.coalesce(w["label"], F.lit("unknown")), "rule_reason": reason,
         "matched": F.coalesce(F.array_join(F.slice(w["patterns"], 1, 5), " | "), F.lit("")),
-    }).drop("__t", "__hits", "__w")
+    }).drop("__empty", "__hits", "__w")
 
 
 def _bonus(label: Column, book: Rulebook) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .literals import required_literal
+from .literals import each_text, matcher, required_literal
 from .vocabulary import ANIMAL_PATTERNS, BAD_BEFORE, OCR_PANELS, OCR_PANELS_EARLY, PANEL_PATTERNS
 
 #: Java flags under which its classes mean what Python's mean: Unicode classes, and "\n" alone ends a line.
@@ -50,8 +52,19 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(F.exists(F.array(plain), lambda x: reduce(lambda a, b: a | b, [guarded(x, p) for p in dict.fromkeys(patterns)])), F.lit(False))
 
 
+#: Letters that the patterns take for i, i and s; lower() knows all others.
+_ALIKE = str.maketrans("\u0130\u0131\u017f", "iis")
+
+
+def _any_animal(texts: pa.Array) -> pa.Array:
+    m = matcher(tuple(dict.fromkeys(ANIMAL_PATTERNS)), re.I)
+    lowered = lambda x: x.lower() if x.isascii() else x.translate(_ALIKE).lower()
+    return pa.array([any(True for _ in m.found(x, lowered(x))) for x in each_text(texts)], pa.bool_())
+
+
 def has_animal(c: Column) -> Column:
-    return matches_any(c, ANIMAL_PATTERNS)
+    """Whether any animal is named, whatever the case; null has none."""
+    return F.arrow_udf(_any_animal, "boolean").asNondeterministic()(c)  # else filters with it were pushed below a repartitioning
 
 
 def first_animal(c: Column) -> Column:
