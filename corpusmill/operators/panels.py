@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from ..functions import text as t
 from ..functions.vocabulary import BROKEN_ENDINGS, ENUM_KEYWORDS, LONE_LETTERS, REFERENCE_PHRASES
 
 SECTIONS = "prefix string, sections array<struct<panel: string, text: string>>"
+#: Texts of an Arrow batch that are Python objects at a time.
+PIECE = 128
 _DASH = "[–-]"
 _ONE = r"\(\s*(?P<one>[A-Z]|[a-z])\s*\)"
 _LIST = r"\(\s*(?P<list>[A-Z]\s*,\s*[A-Z](?:\s*,\s*[A-Z])*|[a-z]\s*,\s*[a-z](?:\s*,\s*[a-z])*)\s*\)"
@@ -69,11 +71,21 @@ def split_free(text: str, profile: str) -> tuple[dict[str, str], str]:
 def split_panels(df: DataFrame, text: str, profile: str = "override") -> DataFrame:
     """Adds prefix and sections. Null text counts as empty."""
 
-    @F.pandas_udf(SECTIONS)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [split_strict(x or "") if profile == "override" else split_free(x or "", profile) for x in texts]
-        return pd.DataFrame({"prefix": [p for _, p in found], "sections": [[{"panel": k, "text": s} for k, s in d.items()] for d, _ in found]})
+    kinds = [pa.string(), pa.list_(pa.struct([("panel", pa.string()), ("text", pa.string())]))]
 
+    def split(texts: list[str]) -> pa.StructArray:
+        found = [split_strict(x) if profile == "override" else split_free(x, profile) for x in texts]
+        columns = [p for _, p in found], [[{"panel": k, "text": s} for k, s in d.items()] for d, _ in found]
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["prefix", "sections"])
+
+    @F.arrow_udf(SECTIONS)
+    def run(texts: pa.Array) -> pa.Array:
+        # A piece of a batch at a time, else all its texts and sections were Python objects at once.
+        pieces = [split([x or "" for x in texts[a : a + PIECE].to_pylist()]) for a in range(0, len(texts), PIECE)]
+        return pa.concat_arrays(pieces) if pieces else split([])
+
+    # Else it would be run once for each column that is taken from it.
+    run = run.asNondeterministic()
     return df.withColumn("__s", run(F.col(text))).withColumns({"prefix": F.col("__s.prefix"), "sections": F.col("__s.sections")}).drop("__s")
 
 
