@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as v
+from .batches import bound_batches
 from .literals import each_text, matcher, required_literal  # noqa: F401
 from .once import once
 
@@ -102,6 +103,7 @@ def hits(found: str, book: Rulebook) -> Column:
 
 def _with_hits(df, text: str, book: Rulebook, out: str):
     """Adds __empty, whether the text is, and ``out``."""
+    bound_batches(df.sparkSession)
     df = df.withColumn("__m", _matches(book)(F.col(text)))
     df = df.withColumns({"__empty": F.col("__m.empty"), "__found": F.col("__m.found")})
     return once(df, out, hits("__found", book)).drop("__m", "__found")

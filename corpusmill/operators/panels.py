@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.batches import bound_batches
 from ..functions.vocabulary import BROKEN_ENDINGS, ENUM_KEYWORDS, LONE_LETTERS, REFERENCE_PHRASES
 
 SECTIONS = "prefix string, sections array<struct<panel: string, text: string>>"
@@ -86,6 +87,7 @@ def split_panels(df: DataFrame, text: str, profile: str = "override") -> DataFra
 
     # Else it would be run once for each column that is taken from it.
     run = run.asNondeterministic()
+    bound_batches(df.sparkSession)
     return df.withColumn("__s", run(F.col(text))).withColumns({"prefix": F.col("__s.prefix"), "sections": F.col("__s.sections")}).drop("__s")
 
 

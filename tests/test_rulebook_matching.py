@@ -48,3 +48,10 @@ def test_panels_of_a_batch_of_many_pieces(spark):
         sections, prefix = panels.split_strict(texts[r.i] or "")
         assert r.prefix == prefix and {s.panel: s.text for s in r.sections} == sections
     assert len(list(literals.each_text(pa.array(texts)))) == 302
+
+
+def test_batches_of_the_splitter_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    panels.split_panels(spark.createDataFrame([("x",)], "text string"), "text")
+    assert spark.conf.get(key) == str(4 << 20)
