@@ -34,6 +34,22 @@ def test_matcher_equals_every_pattern_alone():
         assert len(counted) <= 1
 
 
+def test_patterns_are_tried_only_where_all_their_letters_stand():
+    patterns = (r"\bpet\s*/\s*ct\b", r"\bpet\s+ct\b", r"\bcta?\b", r"\bctangle\b")
+    m, tried = literals.Matcher(patterns), []
+    m.tests = [lambda x, k=k, test=test: (tried.append(k), test(x))[1] for k, test in enumerate(m.tests)]
+    assert list(m.found("(pet ct) ctas", "(pet ct) ctas")) == [1, 2] and tried == [1, 2]
+    assert list(m.found("act, pet/ct", "act, pet/ct")) == [0, 2] and literals.required_literals(r"\bct\b|\bmr\b") == [""]
+
+
+def test_matcher_keeps_nothing_of_the_texts():
+    m = literals.Matcher((r"\bbrain\b.*\bt1\b", r"\bct\b"))
+    size = len(repr(vars(m)))
+    for k in range(1000):
+        assert list(m.found(x := f"invented{k}, brainy{k} (ct)", x)) == [1]
+    assert len(repr(vars(m))) == size
+
+
 def test_animals_are_filtered_after_the_texts_are_dealt_out(spark):
     df = catalogue.QUERIES["early_candidates"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
