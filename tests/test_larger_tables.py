@@ -37,3 +37,8 @@ def test_record_fusion_has_the_scores_of_its_sql(spark, tmp_path):
 def test_refill_chooses_from_the_whole_table(spark, tmp_path, name):
     folder = numbered(spark, tmp_path, range(50000))
     assert differences(spark, folder, name) == ([], [])
+
+
+def test_refill_override_with_gaps_between_keys(spark, tmp_path):
+    folder = numbered(spark, tmp_path, [*range(25000), *range(1_000_000, 1_024_000), 2**40])  # rows beyond 68 chunks of 14,500 compete as well
+    assert differences(spark, folder, "refill_override") == ([], [])
