@@ -29,6 +29,8 @@ class RefillConfig:
     use_margin: bool = False
     #: Rows below the gate wait in the pool and may fill a class that is still short.
     pool_bypass: bool = True
+    #: Rows that share their key are rows of their own; otherwise one of them counts.
+    repeats: bool = False
 
 
 OVERRIDE = RefillConfig()
@@ -94,7 +96,7 @@ def refill(rows: DataFrame, accepted: DataFrame, score: Callable[[DataFrame, flo
         before = state.count()
         if config.pool_bypass:
             pool = pool.unionByName(low).unionByName(scored.where(F.col("final_label").isin(classes) & ~F.col("final_label").isin(missing)))
-        chosen = balance.local_balance(state, pool, config.per_class, classes, new=good).select(columns)
+        chosen = balance.local_balance(state, pool, config.per_class, classes, new=good, repeats=config.repeats).select(columns)
         state = kept(chosen, f"state-{n:03d}")
         pool = kept(pool, f"pool-{n:03d}")
         if round_path:
@@ -102,4 +104,4 @@ def refill(rows: DataFrame, accepted: DataFrame, score: Callable[[DataFrame, flo
         idle = 0 if state.count() > before else idle + 1
         if idle >= config.stagnation:
             break
-    return balance.local_balance(state, pool.limit(0), config.per_class, classes).select(columns)
+    return balance.local_balance(state, pool.limit(0), config.per_class, classes, repeats=config.repeats).select(columns)

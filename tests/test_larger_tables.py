@@ -1,5 +1,7 @@
 """Queries against their SQL on tables of many rows, where classes fill up and rare values of scores occur."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -42,3 +44,14 @@ def test_refill_chooses_from_the_whole_table(spark, tmp_path, name):
 def test_refill_override_with_gaps_between_keys(spark, tmp_path):
     folder = numbered(spark, tmp_path, [*range(25000), *range(1_000_000, 1_024_000), 2**40])  # rows beyond 68 chunks of 14,500 compete as well
     assert differences(spark, folder, "refill_override") == ([], [])
+
+
+@pytest.mark.parametrize("name", ["refill_override", "refill_fusion", "local_balance_tiered"])
+def test_rows_of_a_repeated_key_all_count(spark, tmp_path, name):
+    folder = numbered(spark, tmp_path, [*range(1000), *range(0, 1000, 7), *[50] * 600])  # more of one key than the start takes
+    df = catalogue.QUERIES[name](spark, str(folder))
+    names = sorted(df.columns)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = duck.execute(f"SELECT {', '.join(names)} FROM ({catalogue.ORACLES[name]})").fetchall()
+    assert Counter(tuple(r) for r in df.select(*names).collect()) == Counter(want)
